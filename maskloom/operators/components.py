@@ -25,7 +25,8 @@ MIN_COMPONENT_AREA = 50
 def _labels(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
     """Label many whole tiles at once; rows are sorted by mask, tile, y, x."""
     x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
-    key = _starts(pdf).cumsum() * (2 * tile * tile) + (y % tile) * (2 * tile) + x % tile
+    # One spare row and column per tile keep neighbours of different tiles apart.
+    key = _starts(pdf).cumsum() * (2 * tile * (tile + 1)) + (y % tile) * (2 * tile) + x % tile
     below = np.searchsorted(key, key + 2 * tile)
     found = np.flatnonzero(np.append(key, -1)[below] == key + 2 * tile)
     beside = np.flatnonzero(np.diff(key) == 1)

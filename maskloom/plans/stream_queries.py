@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.operators import pacing, suppression, updates
 from maskloom.plans.registry import query
+from maskloom.plans.spatial_queries import suppression_sql
 from maskloom.session import fresh_dir
 from maskloom.sources import captures as C
 from maskloom.sources.adapters import VIEWS, table, view, view_sql
@@ -57,8 +58,9 @@ def debounced_events(spark, sf):
     return pacing.debounced(_events(table(spark, sf, "events")), _SIX_HOURS, 5 * 24 * 3600 * 1000).select("key", "seq")
 
 
-@query("debounced_events_stream", f"""{_LASTS} QUALIFY a.ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""".replace(
-    " QUALIFY", " AND (b.ts IS NOT NULL OR TRUE) AND").replace("WHERE b.ts IS NULL OR b.ts - a.ts >= INTERVAL 6 HOUR", "WHERE (b.ts IS NULL OR b.ts - a.ts >= INTERVAL 6 HOUR)"))
+@query("debounced_events_stream", f"""{_EVENTS} SELECT a.key, a.seq FROM e a LEFT JOIN e b ON b.key = a.key AND b.rn = a.rn + 1
+WHERE (b.ts IS NULL OR b.ts - a.ts >= INTERVAL 6 HOUR)
+  AND a.ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
 def debounced_events_stream(spark, sf):
     """Bursts still open at the end of the stream stay with the watermark; the statement leaves them out too."""
     return jobs.run_available(jobs.debounced(_events(_stream(spark, sf, "events")), _SIX_HOURS), "debounce").select("key", "seq")
@@ -82,7 +84,7 @@ def latest_document_states(spark, sf):
     return updates.latest(spark.read.parquet(out), "owner", "version").select("owner", "document_id")
 
 
-@query("emitted_survivors_stream", None)
+@query("emitted_survivors_stream", f"{view_sql('regions')}, {suppression_sql('regions', 0.5)} SELECT document_id, region_id FROM survivors")
 def emitted_survivors_stream(spark, sf):
     """Whole table as one batch, so the emitted set equals the final one."""
     boxes = _stream_view(spark, sf, "regions").select(*suppression.BOX_COLUMNS)
