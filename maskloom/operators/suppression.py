@@ -43,28 +43,40 @@ def surviving_boxes(
         raise ValueError("the IoU threshold must be positive")
     if iou_threshold >= 1:
         return boxes  # IoU never exceeds 1
-    big = boxes.groupBy("document_id").count().filter(F.col("count") > array_limit).select("document_id")
+    small, large = _by_size(boxes, array_limit)
+    folded = _fold_arrays(small, iou_threshold)
+    return folded if large is None else folded.unionByName(_tile_rounds(large, iou_threshold, frontier))
+
+
+def _by_size(boxes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Boxes of documents with at most ``limit`` boxes, and of the others if there are any."""
+    big = boxes.groupBy("document_id").count().filter(F.col("count") > limit).select("document_id")
     if big.isEmpty():
-        return _fold_arrays(boxes, iou_threshold)
-    small = boxes.join(big, "document_id", "left_anti")
-    large = boxes.join(big, "document_id", "left_semi")
-    return _fold_arrays(small, iou_threshold).unionByName(_tile_rounds(large, iou_threshold, frontier))
+        return boxes, None
+    return boxes.join(big, "document_id", "left_anti"), boxes.join(big, "document_id", "left_semi")
 
 
 def _fold_arrays(boxes: DataFrame, t: float) -> DataFrame:
-    entry = F.struct((-F.col("score")).alias("o"), "region_id", "x", "y", "w", "h", "score")
+    right, bottom = (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom")
+    entry = F.struct((-F.col("score")).alias("o"), "region_id", "x", "y", "w", "h", "score", right, bottom,
+                     (F.col("w") * F.col("h")).alias("area"))
     arrays = boxes.groupBy("document_id").agg(F.sort_array(F.collect_list(entry)).alias("b"))
+
+    def clash(a: Column, b: Column) -> Column:
+        dx = F.least(a["right"], b["right"]) - F.greatest(a["x"], b["x"])
+        dy = F.least(a["bottom"], b["bottom"]) - F.greatest(a["y"], b["y"])
+        return (dx > 0) & (dy > 0) & (dx * dy / (a["area"] + b["area"] - dx * dy) > F.lit(t))
+
     folded = arrays.select(
         "document_id",
         F.aggregate(
             "b",
             F.slice("b", 1, 0),
-            lambda kept, b: F.when(
-                F.exists(kept, lambda a: B.iou(a, b) > F.lit(t)), kept
-            ).otherwise(F.concat(kept, F.array(b))),
+            lambda kept, b: F.when(F.exists(kept, lambda a: clash(a, b)), kept).otherwise(F.concat(kept, F.array(b))),
         ).alias("kept"),
     )
-    return folded.select("document_id", F.explode("kept").alias("k")).select(
+    # The outer explode keeps the optimizer from testing, and so computing, the folded array twice.
+    return folded.select("document_id", F.explode_outer("kept").alias("k")).select(
         "document_id", *[F.col(f"k.{c}").alias(c) for c in BOX_COLUMNS[1:]]
     )
 
@@ -176,29 +188,37 @@ def _tile_rounds(boxes: DataFrame, t: float, frontier: int) -> DataFrame:
     return out
 
 
-def pair_with_keeper(regions: DataFrame, kept: DataFrame, iou_threshold: float) -> DataFrame:
+def pair_with_keeper(
+    regions: DataFrame, kept: DataFrame, iou_threshold: float, array_limit: int = 512
+) -> DataFrame:
     """For every dropped box the leading kept box that overlaps it too much, with their IoU.
 
-    Kept boxes are spread over tiles; their number per tile is bounded because they hardly
-    overlap, so a dropped box meets few of them even in a crowded document.
+    Small documents join on the document. In crowded ones both sides are spread over tiles; kept
+    boxes hardly overlap, so a tile holds few of them and a dropped box meets few.
     """
-    cols = [*BOX_COLUMNS]
-
-    def prep(df):
-        return _spread(
-            df.select(*cols).filter("w > 0 AND h > 0")
-            .withColumn("class_x", _size_class(F.col("w"))).withColumn("class_y", _size_class(F.col("h"))),
-            iou_threshold,
+    kept = cut_lineage(kept.select(*BOX_COLUMNS))
+    lost = regions.select(*BOX_COLUMNS).join(kept.select("document_id", "region_id"), ["document_id", "region_id"], "left_anti")
+    few, many = _by_size(lost, array_limit)
+    overlap = B.iou(_box("a"), _box("b"))
+    pairs = [few.alias("a").join(
+        kept.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (overlap > F.lit(iou_threshold)))]
+    if many is not None:
+        def spread(df):
+            sized = df.filter("w > 0 AND h > 0").withColumn("class_x", _size_class(F.col("w")))
+            return _spread(sized.withColumn("class_y", _size_class(F.col("h"))), iou_threshold)
+
+        near = kept.join(many.select("document_id").distinct(), "document_id", "left_semi")
+        pairs.append(spread(many).alias("a").join(spread(near).alias("b"), _meet(iou_threshold)))
+
+    def best(p: DataFrame) -> DataFrame:
+        lead = F.min_by(
+            F.struct(F.col("b.region_id").alias("keeper_id"), overlap.alias("iou")),
+            F.struct((-F.col("b.score")).alias("o"), F.col("b.region_id").alias("i")),
+        )
+        return (
+            p.groupBy(F.col("a.document_id").alias("document_id"), F.col("a.region_id").alias("region_id"))
+            .agg(lead.alias("k")).select("document_id", "region_id", "k.keeper_id", "k.iou")
         )
 
-    lost = regions.join(kept.select("document_id", "region_id"), ["document_id", "region_id"], "left_anti")
-    pairs = prep(lost).alias("a").join(prep(kept).alias("b"), _meet(iou_threshold))
-    best = F.min_by(
-        F.struct(F.col("b.region_id").alias("keeper_id"), B.iou(_box("a"), _box("b")).alias("iou")),
-        F.struct((-F.col("b.score")).alias("o"), F.col("b.region_id").alias("i")),
-    )
-    return (
-        pairs.groupBy(F.col("a.document_id").alias("document_id"), F.col("a.region_id").alias("region_id"))
-        .agg(best.alias("k"))
-        .select("document_id", "region_id", "k.keeper_id", "k.iou")
-    )
+    out = best(pairs[0])
+    return out if len(pairs) == 1 else out.unionByName(best(pairs[1]))
