@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.functions import images as I, texts, urls
-from maskloom.operators import ordering, validation
+from maskloom.functions.boxes import round_half_up
+from maskloom.operators import ordering, spatial, validation
 
 # Where files go, the export name without a document name, what a fetched image may
 # answer, and the smallest candidate.
@@ -193,7 +194,7 @@ def large_enough(w: Column, h: Column) -> Column:
     return (w >= MIN_CANDIDATE_SIDE) & (h >= MIN_CANDIDATE_SIDE)
 
 
-def shown(candidates: DataFrame) -> Column:
+def shown() -> Column:
     """Styles that hide an element; combine with the clip test for full visibility."""
     return (
         (F.col("w") != 0) & (F.col("h") != 0) & (F.col("display") != "none")
@@ -201,15 +202,19 @@ def shown(candidates: DataFrame) -> Column:
     )
 
 
-def candidate_set(images: DataFrame, pictures: DataFrame, backgrounds: DataFrame) -> DataFrame:
-    """All candidates with their kind; an image inside a picture is listed twice on purpose."""
+def candidate_set(images: DataFrame, pictures: DataFrame, backgrounds: DataFrame, clips: DataFrame | None = None) -> DataFrame:
+    """All candidates with their kind; an image inside a picture is listed twice on purpose.
+
+    With ``clips``, candidates mostly hidden by a clipping ancestor are left out as well.
+    """
     cols = ["element_id", "kind", "x", "y", "w", "h", "image_url", "natural_width", "natural_height"]
 
     def natural(side):
         return F.nullif(F.col(side), F.lit(0)).cast("int").alias(side)
 
     def seen(df, kind):
-        return df.filter(shown(df) & large_enough(F.col("w"), F.col("h"))).withColumn("kind", F.lit(kind))
+        found = df.filter(shown() & large_enough(F.col("w"), F.col("h"))).withColumn("kind", F.lit(kind))
+        return found if clips is None else spatial.clip_visibility(found, clips).filter("visible")
 
     own = seen(images.filter(~F.coalesce("own_clone", F.lit(False))), "img")
     pics = seen(pictures, "picture")
@@ -238,8 +243,6 @@ def capture_plan(candidates: DataFrame, dpr: Column) -> DataFrame:
 
     Needs ``image_url``, ``kind``, ``transform``, ``same_origin`` and ``accessible``.
     """
-    from maskloom.functions.boxes import round_half_up
-
     direct = (
         F.coalesce(F.col("image_url") != "", F.lit(False)) & untransformed(F.col("kind"), F.col("transform"))
         & (F.col("same_origin") | F.coalesce("accessible", F.lit(False)))

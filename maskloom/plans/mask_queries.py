@@ -156,13 +156,13 @@ def dilated_masks(spark, sf):
 
 
 def _eroded_sql(source: str, frame: str = "pixels") -> str:
-    return f"""SELECT f.mask_id, f.x, f.y FROM {frame} f WHERE NOT EXISTS (SELECT 1 FROM pixels q
-  WHERE q.mask_id = f.mask_id AND q.x BETWEEN f.x - 1 AND f.x + 1 AND q.y BETWEEN f.y - 1 AND f.y + 1
-  AND NOT EXISTS (SELECT 1 FROM {source} s WHERE s.mask_id = q.mask_id AND s.x = q.x AND s.y = q.y))"""
+    return f"""SELECT f.mask_id, f.x, f.y FROM {frame} f WHERE NOT EXISTS (SELECT 1 FROM {frame} q
+  LEFT JOIN {source} s ON s.mask_id = q.mask_id AND s.x = q.x AND s.y = q.y WHERE s.x IS NULL
+  AND q.mask_id = f.mask_id AND q.x BETWEEN f.x - 1 AND f.x + 1 AND q.y BETWEEN f.y - 1 AND f.y + 1)"""
 
 
-def _dilated_sql(source: str) -> str:
-    return f"""SELECT DISTINCT f.mask_id, f.x, f.y FROM pixels f JOIN {source} s ON s.mask_id = f.mask_id
+def _dilated_sql(source: str, frame: str = "pixels") -> str:
+    return f"""SELECT DISTINCT f.mask_id, f.x, f.y FROM {frame} f JOIN {source} s ON s.mask_id = f.mask_id
   AND s.x BETWEEN f.x - 1 AND f.x + 1 AND s.y BETWEEN f.y - 1 AND f.y + 1"""
 
 
@@ -181,16 +181,45 @@ def opened_masks(spark, sf):
     return _xy(morphology.opened(_solid(spark, sf), 1))
 
 
-def _labels_sql(source: str, out: str) -> str:
-    return f"""reach_{out}(mask_id, x, y, src) AS (SELECT mask_id, x, y, y * 8 + x FROM {source}
+def _closure_sql(source: str, out: str, w: int = 8) -> str:
+    """Label = smallest index that reaches a pixel over set neighbours."""
+    return f"""reach_{out}(mask_id, x, y, src) AS (SELECT mask_id, x, y, y * {w} + x FROM {source}
   UNION SELECT s.mask_id, s.x, s.y, r.src FROM reach_{out} r JOIN {source} s ON s.mask_id = r.mask_id
-    AND abs(s.x - r.x) + abs(s.y - r.y) = 1 AND r.src < s.y * 8 + s.x),
+    AND abs(s.x - r.x) + abs(s.y - r.y) = 1),
 {out} AS (SELECT mask_id, x, y, min(src) AS label FROM reach_{out} GROUP BY mask_id, x, y)"""
 
 
-# A path may climb to smaller indices, so the plain closure is needed: no bound on the source.
-def _closure_sql(source: str, out: str) -> str:
-    return _labels_sql(source, out).replace(" AND r.src < s.y * 8 + s.x", "")
+def _smooth_sql(source: str, frame: str, w: int, speck: int, hole: int) -> str:
+    """CTEs that end in ``smooth``: drop specks, fill holes, close by 1, erode by 1."""
+    return f"""{_closure_sql(source, 'sa', w)},
+s1 AS (SELECT a.mask_id, a.x, a.y FROM sa a JOIN (SELECT mask_id, label FROM sa GROUP BY 1, 2 HAVING count(*) >= {speck}) g
+  ON g.mask_id = a.mask_id AND g.label = a.label),
+s2 AS (SELECT mask_id, x, y FROM {frame} EXCEPT SELECT mask_id, x, y FROM s1),
+{_closure_sql('s2', 'sb', w)},
+s3 AS (SELECT mask_id, x, y FROM s1 UNION ALL SELECT b.mask_id, b.x, b.y FROM sb b
+  JOIN (SELECT mask_id, label FROM sb GROUP BY 1, 2 HAVING count(*) < {hole}) g ON g.mask_id = b.mask_id AND g.label = b.label),
+s4 AS ({_dilated_sql('s3', frame)}), s5 AS ({_eroded_sql('s4', frame)}), smooth AS ({_eroded_sql('s5', frame)})"""
+
+
+def _snap_sql(source: str, frame: str, w: int, h: int) -> str:
+    """CTEs that end in ``snapped``; frames up to 150 pixels have a margin of 3."""
+    area = w * h
+    return f"""k AS (SELECT mask_id, count(*) / {area} AS share, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1,
+  count(*) FILTER (y < 3) / {3 * w} AS t, count(*) FILTER (y >= {h - 3}) / {3 * w} AS b,
+  count(*) FILTER (x < 3) / {3 * h} AS l, count(*) FILTER (x >= {w - 3}) / {3 * h} AS r FROM {source} GROUP BY mask_id),
+e AS (SELECT mask_id, share, t, b, l, r,
+  t >= 0.65::DOUBLE OR (share >= 0.7::DOUBLE AND t >= 0.65::DOUBLE * 0.75::DOUBLE) OR (y0 <= 3 AND t >= 0.4::DOUBLE) AS ft,
+  b >= 0.65::DOUBLE OR (share >= 0.7::DOUBLE AND b >= 0.65::DOUBLE * 0.75::DOUBLE) OR (y1 + 1 >= {h - 3} AND b >= 0.4::DOUBLE) AS fb,
+  l >= 0.65::DOUBLE OR (share >= 0.7::DOUBLE AND l >= 0.65::DOUBLE * 0.75::DOUBLE) OR (x0 <= 3 AND l >= 0.4::DOUBLE) AS fl,
+  r >= 0.65::DOUBLE OR (share >= 0.7::DOUBLE AND r >= 0.65::DOUBLE * 0.75::DOUBLE) OR (x1 + 1 >= {w - 3} AND r >= 0.4::DOUBLE) AS fr FROM k),
+d AS (SELECT * FROM (SELECT *, ft::INT + fb::INT + fl::INT + fr::INT AS n FROM e) WHERE share >= 0.45::DOUBLE
+  AND (n >= 3 OR (n >= 2 AND share >= 0.65::DOUBLE) OR (t + b + l + r) / 4 >= 0.65::DOUBLE)),
+u AS (SELECT s.mask_id, s.x, s.y FROM {source} s JOIN d ON d.mask_id = s.mask_id
+  UNION SELECT f.mask_id, f.x, f.y FROM {frame} f JOIN d ON d.mask_id = f.mask_id
+    WHERE (ft AND f.y < 3) OR (fb AND f.y >= {h - 3}) OR (fl AND f.x < 3) OR (fr AND f.x >= {w - 3})),
+uframe AS (SELECT f.mask_id, f.x, f.y FROM {frame} f JOIN d ON d.mask_id = f.mask_id),
+ud AS ({_dilated_sql('u', 'uframe')}),
+snapped AS ({_eroded_sql('ud', 'uframe')} UNION ALL SELECT s.mask_id, s.x, s.y FROM {source} s WHERE s.mask_id NOT IN (SELECT mask_id FROM d))"""
 
 
 _LABELS = f"{_SET}, {_closure_sql('p', 'lab')}"
@@ -298,47 +327,84 @@ def pixel_channels(spark, sf):
                     RF.opacity(g).alias("alpha"))
 
 
-def _spread(spark, df):
-    """The given file is a single split; what follows is heavy per row, so it is spread first."""
-    return df.repartition(spark.sparkContext.defaultParallelism, "mask_id")
+@query("snapped_masks", f"{_SOLID}, {_snap_sql('p', 'pixels', 8, 8)} SELECT * FROM snapped")
+def snapped_masks(spark, sf):
+    return _xy(refinement.snapped_to_edges(_solid(spark, sf)))
 
 
-def _frames_from(spark, sf):
-    return _spread(spark, _rasters(spark, sf)).withColumns({
-        "out_w": F.lit(40) + (F.col("label") % 3).cast("int") * 8, "out_h": F.lit(32)})
+@query("smoothed_masks", f"{_SOLID}, {_smooth_sql('p', 'pixels', 8, 4, 3)} SELECT * FROM smooth")
+def smoothed_masks(spark, sf):
+    return _xy(refinement.smoothed(_rasters(spark, sf), _solid(spark, sf), 4, 3, 1))
+
+
+_FW, _FH = 14, 10
+_REFINED = f"""{_PX}, {_blur_sql(1.0)},
+ba AS (SELECT mask_id, list(v ORDER BY y, x) AS a FROM blur GROUP BY mask_id),
+frame AS (SELECT mask_id, x, y FROM ids, range({_FW}) AS gx(x), range({_FH}) AS gy(y)),
+c AS (SELECT f.mask_id, f.x, f.y, a, cast(floor(f.x / {_FW} * 8) AS int) AS ix0, cast(least(floor(f.x / {_FW} * 8) + 1, 7) AS int) AS ix1,
+  cast(floor(f.y / {_FH} * 8) AS int) AS iy0, cast(least(floor(f.y / {_FH} * 8) + 1, 7) AS int) AS iy1,
+  f.x / {_FW} * 8 - floor(f.x / {_FW} * 8) AS fx, f.y / {_FH} * 8 - floor(f.y / {_FH} * 8) AS fy
+  FROM frame f JOIN ba ON ba.mask_id = f.mask_id),
+up AS (SELECT mask_id, x, y FROM c WHERE (a[iy0 * 8 + ix0 + 1]::DOUBLE * (1 - fx) + a[iy0 * 8 + ix1 + 1]::DOUBLE * fx) * (1 - fy)
+  + (a[iy1 * 8 + ix0 + 1]::DOUBLE * (1 - fx) + a[iy1 * 8 + ix1 + 1]::DOUBLE * fx) * fy > -0.01::DOUBLE),
+{_closure_sql('up', 'lab', _FW)},
+pts AS (SELECT mask_id, mask_id % {_FW} AS x, mask_id * 7 % {_FH} AS y FROM ids WHERE mask_id % 5 <> 0),
+hit AS (SELECT l.mask_id, l.label FROM lab l JOIN pts t ON t.mask_id = l.mask_id AND t.x = l.x AND t.y = l.y),
+big AS (SELECT mask_id, label FROM lab WHERE mask_id IN (SELECT mask_id FROM pts) AND mask_id NOT IN (SELECT mask_id FROM hit)
+  GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY mask_id ORDER BY count(*) DESC, label DESC) = 1),
+kk AS (SELECT * FROM hit UNION ALL SELECT * FROM big),
+chosen AS (SELECT l.mask_id, l.x, l.y FROM lab l WHERE mask_id NOT IN (SELECT mask_id FROM pts)
+  OR EXISTS (SELECT 1 FROM kk WHERE kk.mask_id = l.mask_id AND kk.label = l.label)),
+{_smooth_sql('chosen', 'frame', _FW, 6, 5)},
+{_snap_sql('smooth', 'frame', _FW, _FH)},
+g AS (SELECT mask_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM snapped GROUP BY mask_id)
+SELECT i.mask_id, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0 + 1, 0) AS w, coalesce(y1 - y0 + 1, 0) AS h,
+  coalesce(n, 0) AS area FROM ids i LEFT JOIN g ON g.mask_id = i.mask_id"""
 
 
-@query("refined_masks")
+@query("refined_masks", _REFINED)
 def refined_masks(spark, sf):
-    """Whole refinement on upsampled vectors; compared with a brute-force raster in the tests."""
-    r = _frames_from(spark, sf)
+    """Whole refinement, with limits scaled to the small output frame."""
+    r = _rasters(spark, sf).withColumns({"out_w": F.lit(_FW), "out_h": F.lit(_FH)})
     pts = r.filter("mask_id % 5 <> 0").select(
-        "mask_id", (F.col("mask_id") % F.col("out_w")).cast("double").alias("px"), (F.col("mask_id") * 7 % 32).cast("double").alias("py"))
-    px = refinement.refined_masks(r, pts, limit=0.01)
-    frames = r.select("mask_id")
-    return M.mask_boxes(frames, px)
+        "mask_id", (F.col("mask_id") % _FW).cast("double").alias("px"), (F.col("mask_id") * 7 % _FH).cast("double").alias("py"))
+    px = refinement.refined_masks(r, pts, limit=-0.01, limits=lambda w, h: {"speck": 6, "hole": 5, "closing": 1})
+    return M.mask_boxes(r.select("mask_id"), px)
 
 
-@query("snapped_masks")
-def snapped_masks(spark, sf):
-    r = _frames_from(spark, sf)
-    return _xy(refinement.snapped_to_edges(refinement.upsampled_pixels(r, -0.05)))
-
-
-@query("smoothed_masks")
-def smoothed_masks(spark, sf):
-    r = _frames_from(spark, sf)
-    frames = r.select("mask_id", F.col("out_w").alias("w"), F.col("out_h").alias("h"))
-    return _xy(refinement.smoothed(frames, refinement.upsampled_pixels(r, 0.0), 20, 12, 2))
-
-
-@query("text_boxes")
+@query("refined_masks_large")
+def refined_masks_large(spark, sf):
+    """Refinement into larger frames of differing size, with the limits derived from them."""
+    r = _rasters(spark, sf).withColumns({
+        "out_w": F.lit(40) + (F.col("label") % 3).cast("int") * 8, "out_h": F.lit(32)})
+    pts = r.filter("mask_id % 5 <> 0").select(
+        "mask_id", (F.col("mask_id") % F.col("out_w")).cast("double").alias("px"), (F.col("mask_id") * 7 % 32).cast("double").alias("py"))
+    return M.mask_boxes(r.select("mask_id"), refinement.refined_masks(r, pts, limit=0.01))
+
+
+_TEXT = f"""{_PX}, q AS (SELECT mask_id, x, y, v * 2 + 0.45::DOUBLE AS pr FROM pixels), p AS (SELECT * FROM q WHERE pr > 0.5::DOUBLE),
+{_closure_sql('p', 'lab')},
+f AS (SELECT l.mask_id, l.label, count(*) AS n, avg(p.pr) AS mask_mean, min(l.x) AS x0, max(l.x) AS x1, min(l.y) AS y0, max(l.y) AS y1
+  FROM lab l JOIN p ON p.mask_id = l.mask_id AND p.x = l.x AND p.y = l.y GROUP BY 1, 2),
+s AS (SELECT * FROM f WHERE n >= 3 AND x1 > x0 AND y1 > y0),
+bm AS (SELECT s.mask_id, s.label, avg(q.pr) AS box_mean FROM s JOIN q ON q.mask_id = s.mask_id AND q.x BETWEEN s.x0 AND s.x1
+  AND q.y BETWEEN s.y0 AND s.y1 GROUP BY 1, 2),
+o AS (SELECT s.mask_id, s.label, least(box_mean, mask_mean) AS confidence, x0 * 80.0::DOUBLE AS qx, y0 * 60.0::DOUBLE AS qy,
+  (x1 - x0 + 1) * 80.0::DOUBLE AS bw, (y1 - y0 + 1) * 60.0::DOUBLE AS bh FROM s JOIN bm ON bm.mask_id = s.mask_id AND bm.label = s.label
+  WHERE box_mean >= 0.5::DOUBLE AND mask_mean >= 0.6::DOUBLE),
+d AS (SELECT *, bw * bh * 1.5::DOUBLE / (2 * (bw + bh)) AS d FROM o),
+g AS (SELECT mask_id, label, confidence, greatest(0::DOUBLE, qx - d) AS x, greatest(0::DOUBLE, qy - d) AS y,
+  least(640 - greatest(0::DOUBLE, qx - d), bw + 2 * d) AS w, least(480 - greatest(0::DOUBLE, qy - d), bh + 2 * d) AS h FROM d)
+SELECT mask_id, row_number() OVER (PARTITION BY mask_id ORDER BY floor(y / 10), floor(x / 64), x, y, label) AS reading_position,
+  {", ".join(f"{rounded_sql(c, 4)} AS {c}" for c in ("x", "y", "w", "h", "confidence"))} FROM g"""
+
+
+@query("text_boxes", _TEXT)
 def text_boxes(spark, sf):
-    """Vectors scaled to probabilities and enlarged 8-fold stand for detector output."""
-    big = F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda i: F.get(
-        "v", (F.floor(i / 512) * 8 + F.floor((i % 64) / 8)).cast("int")) * 2 + F.lit(0.45))
-    maps = _spread(spark, _rasters(spark, sf)).select("mask_id", F.lit(64).alias("w"), F.lit(64).alias("h"), big.alias("v"),
-                                      F.lit(640).alias("image_w"), F.lit(480).alias("image_h"))
-    out = refinement.text_regions(maps)
-    return out.select(F.col("document_id").alias("mask_id"), "reading_position", *[rounded(F.col(c), 4).alias(c) for c in ("x", "y", "w", "h")],
-                      rounded(F.col("confidence"), 4).alias("confidence"))
+    """Vectors scaled to probabilities stand for detector output; the size floors are scaled along."""
+    maps = _rasters(spark, sf).select(
+        "mask_id", "w", "h", F.transform("v", lambda p: p.cast("double") * 2 + F.lit(0.45)).alias("v"),
+        F.lit(640).alias("image_w"), F.lit(480).alias("image_h"))
+    out = refinement.text_regions(maps, floors=(2, 3))
+    return out.select(F.col("document_id").alias("mask_id"), "reading_position",
+                      *[rounded(F.col(c), 4).alias(c) for c in ("x", "y", "w", "h", "confidence")])
