@@ -104,12 +104,12 @@ VIEWS: dict[str, tuple[str, list[tuple[str, Expr]]]] = {
     "inline": ("documents", [
         ("doc_id", "doc_id"),
         ("payload", (
-            "regexp_replace(base64(concat(unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(n_chars % 2000 + 1), 8, '0'), "
-            "lpad(hex(doc_id % 1000 + 1), 8, '0'))), encode(text, 'UTF-8'))), '[^A-Za-z0-9+/=]', '')",
+            "replace(base64(concat(unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(n_chars % 2000 + 1), 8, '0'), "
+            "lpad(hex(doc_id % 1000 + 1), 8, '0'))), encode(text, 'UTF-8'))), '\\r\\n', '')",
             "to_base64(unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(to_hex(n_chars % 2000 + 1), 8, '0'), "
             "lpad(to_hex(doc_id % 1000 + 1), 8, '0'))) || encode(text))",
         )),
-        ("plain", ("regexp_replace(base64(encode(text, 'UTF-8')), '[^A-Za-z0-9+/=]', '')", "to_base64(encode(text))")),
+        ("plain", ("replace(base64(encode(text, 'UTF-8')), '\\r\\n', '')", "to_base64(encode(text))")),
         ("words", "replace(text, ',', ' ')"),
     ]),
     # Logged probes of image addresses.
