@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from maskloom.functions.boxes import round_half_up
 from maskloom.operators.masks import PIXEL, inverted
 from maskloom.session import cut_lineage
 
@@ -149,23 +150,26 @@ def filled_holes(masks: DataFrame, pixels: DataFrame, min_area: Column | int, ti
     return pixels.select(*PIXEL).unionByName(holes)
 
 
-def touching_points(pixels: DataFrame, points: DataFrame, tile: int = TILE) -> DataFrame:
+def touching_points(
+    pixels: DataFrame, points: DataFrame, min_area: Column | int | None = None, tile: int = TILE
+) -> DataFrame:
     """Keep components that hold one of the mask's ``points(mask_id, px, py)``, rounded to pixels.
 
     Where no point hits, the largest component stays (of equals the later in row order). Masks
-    without any point are left whole.
+    without any point are left whole. ``min_area`` then drops small components in the same pass,
+    as the ones kept are unchanged.
     """
-    from maskloom.functions.boxes import round_half_up
-
     labels = cut_lineage(labelled(pixels, tile))
     spots = points.select("mask_id", round_half_up(F.col("px")).cast("int").alias("x"),
                           round_half_up(F.col("py")).cast("int").alias("y"))
     hit = labels.join(spots.distinct(), ["mask_id", "x", "y"]).select("mask_id", "label").distinct()
+    sizes = component_sizes(labels)
     asked = points.select("mask_id").distinct()
     missed = asked.join(hit.select("mask_id").distinct(), "mask_id", "left_anti")
-    largest = (
-        component_sizes(labels).join(missed, "mask_id", "left_semi").groupBy("mask_id")
-        .agg(F.max_by("label", F.struct("area", "label")).alias("label"))
-    )
-    free = labels.join(asked, "mask_id", "left_anti").select(*pixels.columns)
-    return _keep(labels, hit.unionByName(largest), pixels.columns).unionByName(free)
+    largest = sizes.join(missed, "mask_id", "left_semi").groupBy("mask_id").agg(
+        F.max_by("label", F.struct("area", "label")).alias("label"))
+    chosen = sizes.join(asked, "mask_id", "left_anti").unionByName(
+        sizes.join(hit.unionByName(largest), ["mask_id", "label"], "left_semi"))
+    if min_area is not None:
+        chosen = chosen.filter(F.col("area") >= (F.lit(min_area) if isinstance(min_area, int) else min_area))
+    return _keep(labels, chosen, pixels.columns)

@@ -38,16 +38,14 @@ def undone(documents: DataFrame) -> DataFrame:
     )
 
 
-def replay(actions: DataFrame, slice_of: Column) -> DataFrame:
-    """Apply a log of ``add`` and ``undo`` per ``key`` in order of ``(at, seq)``.
+def levelled(actions: DataFrame, slice_of: Column) -> DataFrame:
+    """Apply a log of ``add`` and ``undo`` per ``key`` in order of ``(at, seq)``: ``level`` and ``outcome``.
 
     The index is a walk that goes up on ``add``, down on ``undo`` and stops at zero, which is the
     running sum minus its running minimum (when negative). Both are prefix aggregates, so the log
     is cut into slices (``slice_of`` must grow with ``at``), each slice is summed apart, and only
-    slice totals are chained per key: no key is folded row by row in one task.
-
-    Adds ``level`` (index after the action), ``outcome``, and for a successful undo the
-    ``restored_path``.
+    slice totals are chained per key: no key is folded row by row in one task. ``level`` is the
+    index after the action.
     """
     step = F.when(F.col("action") == "add", 1).otherwise(-1)
     order = ["at", "seq"]
@@ -67,7 +65,7 @@ def replay(actions: DataFrame, slice_of: Column) -> DataFrame:
     )
     height = F.col("base") + F.col("s")
     earlier = Window.partitionBy("key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    levelled = (
+    return (
         rows.withColumn("low_before", F.min("s").over(earlier))
         .join(slices, ["key", "slice"])
         .withColumn("level", (height - F.least("base_low", F.col("base") + F.col("low"))).cast("long"))
@@ -77,12 +75,22 @@ def replay(actions: DataFrame, slice_of: Column) -> DataFrame:
             "outcome",
             F.when(F.col("action") == "add", "added").when(F.col("at_zero"), UNDO_REFUSAL).otherwise("undone"),
         )
+        .select(*actions.columns, "slice", "level", "outcome")
     )
-    # Entry an undo returns to: the last one added at the level it leaves.
+
+
+def replay(actions: DataFrame, slice_of: Column) -> DataFrame:
+    """As :func:`levelled`, with the ``restored_path`` of every successful undo.
+
+    An undo returns to the entry last added at the level it leaves; that entry is carried along
+    each level, again slice by slice.
+    """
+    order = ["at", "seq"]
+    moves = levelled(actions, slice_of)
     spot = F.when(F.col("outcome") == "undone", F.col("level") + 1).when(F.col("outcome") == "added", F.col("level"))
     added = F.when(F.col("outcome") == "added", F.col("image_path"))
     in_slice = Window.partitionBy("key", "spot", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = levelled.withColumn("spot", spot).withColumn("near", F.last(added, ignorenulls=True).over(in_slice))
+    placed = moves.withColumn("spot", spot).withColumn("near", F.last(added, ignorenulls=True).over(in_slice))
     over_slices = Window.partitionBy("key", "spot").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         placed.filter("spot IS NOT NULL").groupBy("key", "spot", "slice")
@@ -97,24 +105,22 @@ def replay(actions: DataFrame, slice_of: Column) -> DataFrame:
     )
 
 
-def final_state(replayed: DataFrame) -> DataFrame:
+def final_state(moves: DataFrame) -> DataFrame:
     """Index, length, current image and possible moves per key after the whole log.
 
-    Only the last action, the last add and the last add at the final level matter; all three are
-    plain aggregates.
+    Takes the result of :func:`levelled` (or :func:`replay`). Rows are first reduced per key and
+    level, then per key; both steps are mergeable aggregates.
     """
     moment = F.struct("at", "seq")
     added = F.col("outcome") == "added"
-    ends = replayed.groupBy("key").agg(
-        F.max_by("level", moment).alias("history_index"),
-        F.coalesce(F.max_by(F.when(added, F.col("level")), F.when(added, moment)), F.lit(0)).alias("history_length"),
-    )
-    tops = (
-        replayed.filter(added).groupBy("key", F.col("level").alias("history_index"))
-        .agg(F.max_by("image_path", moment).alias("current_path"))
-    )
-    return ends.join(tops, ["key", "history_index"], "left").select(
-        "key", "history_index", "history_length", "current_path",
-        (F.col("history_index") > 0).alias("can_undo"),
-        (F.col("history_index") < F.col("history_length")).alias("can_redo"),
+    add_moment = F.when(added, moment)
+    per_level = moves.groupBy("key", "level").agg(
+        F.max(moment).alias("any_at"), F.max(add_moment).alias("add_at"), F.max_by("image_path", add_moment).alias("path"))
+    return per_level.groupBy("key").agg(
+        F.max_by(F.struct("level", "path"), F.col("any_at")).alias("now"),
+        F.coalesce(F.max_by("level", F.col("add_at")), F.lit(0)).alias("history_length"),
+    ).select(
+        "key", F.col("now.level").alias("history_index"), "history_length",
+        F.when(F.col("now.level") > 0, F.col("now.path")).alias("current_path"),
+        (F.col("now.level") > 0).alias("can_undo"), (F.col("now.level") < F.col("history_length")).alias("can_redo"),
     )

@@ -140,7 +140,7 @@ def captured_documents(requests: DataFrame) -> DataFrame:
 
 
 def fill_dimensions(documents: DataFrame, assets: DataFrame) -> DataFrame:
-    """Asset size only fills what the document does not know yet."""
+    """Asset size only fills what the document does not know yet; ``assets`` has one row per document."""
     a = assets.select("document_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
     return (
         documents.join(a, "document_id", "left")

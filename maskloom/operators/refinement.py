@@ -92,10 +92,12 @@ def default_smoothing_limits(w: Column, h: Column) -> dict[str, Column]:
     }
 
 
-def smoothed(frames: DataFrame, pixels: DataFrame, speck: Column | int, hole: Column | int,
+def smoothed(frames: DataFrame, pixels: DataFrame, speck: Column | int | None, hole: Column | int,
              closing: Column | int = 3, erode_after: int = 1) -> DataFrame:
-    """Drop specks, fill holes, close gaps, and take back the growth."""
-    out = components.without_small(pixels.select(*M.PIXEL), speck)
+    """Drop specks (unless ``speck`` is None), fill holes, close gaps, and take back the growth."""
+    out = pixels.select(*M.PIXEL)
+    if speck is not None:
+        out = components.without_small(out, speck)
     out = components.filled_holes(frames, out, hole)
     out = morphology.closed(out, closing)
     return morphology.eroded(out, erode_after) if erode_after else out
@@ -158,9 +160,9 @@ def refined_masks(rasters: DataFrame, points: DataFrame, sigma: float = R.BLUR_S
     """
     frames = rasters.select("mask_id", F.col("out_w").alias("w"), F.col("out_h").alias("h"))
     pixels = upsampled_pixels(blurred(rasters, sigma), limit)
-    pixels = components.touching_points(pixels, points)
     lim = limits(F.col("w"), F.col("h"))
-    pixels = smoothed(frames, pixels, lim["speck"], lim["hole"], lim["closing"], 1)
+    pixels = components.touching_points(pixels, points, lim["speck"])
+    pixels = smoothed(frames, pixels, None, lim["hole"], lim["closing"], 1)
     return snapped_to_edges(pixels)
 
 

@@ -205,7 +205,7 @@ def history_replay(spark, sf):
   CASE WHEN idx BETWEEN 1 AND len(hist) THEN hist[idx] END AS current_path, idx > 0 AS can_undo, idx < len(hist) AS can_redo
 FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1""")
 def history_final_state(spark, sf):
-    return history.final_state(history.replay(view(spark, sf, "actions"), F.to_date("at")))
+    return history.final_state(history.levelled(view(spark, sf, "actions"), F.to_date("at")))
 
 
 @query("embedded_history", """WITH h AS (SELECT o_orderkey AS document_id, cast(o_custkey % 5 AS int) AS n,
