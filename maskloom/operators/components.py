@@ -52,7 +52,11 @@ def _starts(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def labelled(pixels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Add ``label``. ``pixels`` has distinct rows ``(mask_id, w, h, x, y, ...)``."""
+    """Add ``label``. ``pixels`` has distinct rows ``(mask_id, w, h, x, y, ...)``.
+
+    The result is materialised: callers read it several times, and the test for frames wider than
+    a tile must not run everything before it again.
+    """
     schema = T.StructType([*pixels.schema.fields, T.StructField("label", T.LongType())])
 
     def label_batches(batches):
@@ -70,17 +74,16 @@ def labelled(pixels: DataFrame, tile: int = TILE) -> DataFrame:
             yield _labels(open_tile, tile)
 
     tiles = ["mask_id", "tile_x", "tile_y"]
-    local = (
+    local = cut_lineage(
         pixels.withColumn("tile_x", F.floor(F.col("x") / tile)).withColumn("tile_y", F.floor(F.col("y") / tile))
         .repartition(*tiles).sortWithinPartitions(*tiles, "y", "x")
         .mapInPandas(label_batches, schema)
     )
     wide = (F.col("w") > tile) | (F.col("h") > tile)
-    if pixels.filter(wide).isEmpty():
+    if local.filter(wide).isEmpty():
         return local
-    local = cut_lineage(local)
     roots = _contracted(_border_pairs(local.filter(wide), tile))
-    return (
+    return cut_lineage(
         local.join(roots, ["mask_id", "label"], "left")
         .withColumn("label", F.coalesce("root", "label")).select(*pixels.columns, "label")
     )
@@ -138,14 +141,14 @@ def _keep(labels: DataFrame, which: DataFrame, columns: list[str]) -> DataFrame:
 def without_small(pixels: DataFrame, min_area: Column | int = MIN_COMPONENT_AREA, tile: int = TILE) -> DataFrame:
     """Drop components with fewer than ``min_area`` pixels (a number or an expression in ``w``, ``h``)."""
     limit = F.lit(min_area) if isinstance(min_area, int) else min_area
-    labels = cut_lineage(labelled(pixels, tile))  # read twice
+    labels = labelled(pixels, tile)
     return _keep(labels, component_sizes(labels).filter(F.col("area") >= limit), pixels.columns)
 
 
 def filled_holes(masks: DataFrame, pixels: DataFrame, min_area: Column | int, tile: int = TILE) -> DataFrame:
     """Set the background components with fewer than ``min_area`` pixels."""
     limit = F.lit(min_area) if isinstance(min_area, int) else min_area
-    around = cut_lineage(labelled(inverted(masks, pixels), tile))
+    around = labelled(inverted(masks, pixels), tile)
     holes = _keep(around, component_sizes(around).filter(F.col("area") < limit), PIXEL)
     return pixels.select(*PIXEL).unionByName(holes)
 
@@ -159,7 +162,7 @@ def touching_points(
     without any point are left whole. ``min_area`` then drops small components in the same pass,
     as the ones kept are unchanged.
     """
-    labels = cut_lineage(labelled(pixels, tile))
+    labels = labelled(pixels, tile)
     spots = points.select("mask_id", round_half_up(F.col("px")).cast("int").alias("x"),
                           round_half_up(F.col("py")).cast("int").alias("y"))
     hit = labels.join(spots.distinct(), ["mask_id", "x", "y"]).select("mask_id", "label").distinct()

@@ -166,3 +166,31 @@ def test_packet_escapes(spark):
     got = one(spark, texts.xmp_packet(F.col("s"), "tool"), s="""a&b<c>"d'""")
     assert "<dc:source>a&amp;b&lt;c&gt;&quot;d&apos;</dc:source>" in got and "<xmp:CreatorTool>tool<" in got
     assert "<dc:source></dc:source>" in one(spark, texts.xmp_packet(F.col("s")), s=None)
+
+
+def test_candidates_inside_clips(spark):
+    cols = ("element_id string, x double, y double, w double, h double, display string, visibility string, opacity string, "
+            "image_url string, natural_width int, natural_height int, own_clone boolean, background_image string")
+    rows = [("a", 0.0, 0.0, 200.0, 200.0, "block", "visible", "1", "u", 0, 10, False, "none"),
+            ("b", 0.0, 0.0, 99.0, 200.0, "block", "visible", "1", "u", 5, 5, False, "none"),
+            ("c", 0.0, 0.0, 200.0, 200.0, "block", "visible", "1", "u", 5, 5, True, "none")]
+    e = spark.createDataFrame(rows, cols)
+    none = e.limit(0)
+    got = intake.candidate_set(e, e.filter("element_id = 'a'"), none).collect()
+    assert sorted((r.element_id, r.kind, r.natural_width) for r in got) == [("a", "img", None), ("a", "picture", None)]
+    clips = spark.createDataFrame([("a", 0.0, 0.0, 200.0, 99.0)], "element_id string, x double, y double, w double, h double")
+    assert intake.candidate_set(e, none, none, clips).count() == 0
+
+
+def test_append_and_lookup(spark, tmp_path):
+    from maskloom.sources import captures
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, kind string")
+    captures.append_rows(rows, str(tmp_path / "t"), ["kind"])
+    captures.append_rows(rows, str(tmp_path / "t"), ["kind"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    docs = spark.createDataFrame([(1, "ready", "x.org"), (2, "error", "x.org")], "id long, status string, source_domain string")
+    captures.write_documents(docs, str(tmp_path / "d"))
+    found = captures.documents_where(spark, str(tmp_path / "d"), status="ready", source_domain="x.org")
+    assert [r.id for r in found.collect()] == [1]
+    assert "PartitionFilters: [isnotnull(status" in found._jdf.queryExecution().toString()
