@@ -197,18 +197,21 @@ def pair_with_keeper(
     boxes hardly overlap, so a tile holds few of them and a dropped box meets few.
     """
     kept = cut_lineage(kept.select(*BOX_COLUMNS))
-    lost = regions.select(*BOX_COLUMNS).join(kept.select("document_id", "region_id"), ["document_id", "region_id"], "left_anti")
-    few, many = _by_size(lost, array_limit)
+
+    def lost(df: DataFrame) -> DataFrame:
+        return df.join(kept.select("document_id", "region_id"), ["document_id", "region_id"], "left_anti")
+
+    small, large = _by_size(regions.select(*BOX_COLUMNS), array_limit)
     overlap = B.iou(_box("a"), _box("b"))
-    pairs = [few.alias("a").join(
+    pairs = [lost(small).alias("a").join(
         kept.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (overlap > F.lit(iou_threshold)))]
-    if many is not None:
+    if large is not None:
         def spread(df):
             sized = df.filter("w > 0 AND h > 0").withColumn("class_x", _size_class(F.col("w")))
             return _spread(sized.withColumn("class_y", _size_class(F.col("h"))), iou_threshold)
 
-        near = kept.join(many.select("document_id").distinct(), "document_id", "left_semi")
-        pairs.append(spread(many).alias("a").join(spread(near).alias("b"), _meet(iou_threshold)))
+        near = kept.join(large.select("document_id").distinct(), "document_id", "left_semi")
+        pairs.append(spread(lost(large)).alias("a").join(spread(near).alias("b"), _meet(iou_threshold)))
 
     def best(p: DataFrame) -> DataFrame:
         lead = F.min_by(

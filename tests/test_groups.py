@@ -56,6 +56,22 @@ def test_crowded_document(spark, t):
     assert {r.region_id for r in spread.collect()} == want
 
 
+def test_keepers_of_a_crowded_document(spark):
+    rows = crowd(120, 21)
+    df = boxes(spark, rows)
+    keep = greedy(rows, 0.3)
+    kept = df.filter(F.col("region_id").isin(sorted(keep)))
+    by_id = {r[1]: r for r in rows}
+    want = {}
+    for r in rows:
+        if r[1] not in keep:
+            over = [k for k in keep if iou(by_id[k][2:6], r[2:6]) > 0.3]
+            want[r[1]] = min(over, key=lambda k: (-by_id[k][6], k))
+    for limit in (512, 10):
+        got = {r.region_id: r.keeper_id for r in S.pair_with_keeper(df, kept, 0.3, array_limit=limit).collect()}
+        assert got == want
+
+
 def test_suppression_is_idempotent(spark):
     df = boxes(spark, crowd(80, 5))
     once = S.surviving_boxes(df, 0.5)
