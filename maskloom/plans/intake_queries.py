@@ -319,14 +319,14 @@ def metadata_packets(spark, sf):
 
 _TAKEN = """old AS (SELECT strftime(o_orderdate, '%Y%m%d') AS d,
   CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'x7' ELSE concat(lpad(cast(o_custkey % 30 AS varchar), 3, '0'), CASE WHEN o_custkey % 4 = 2 THEN 'b' ELSE '' END) END AS tail
-  FROM orders WHERE o_orderkey % 5 = 0),
+  FROM orders),
 taken AS (SELECT d, max(CASE o WHEN '' THEN 0 ELSE cast(o AS bigint) END) AS taken FROM (SELECT d, regexp_extract(tail, '^[+-]?[0-9]+') AS o FROM old) GROUP BY d)"""
 
 
 def _existing_names(spark, sf):
     tail = F.expr("CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'x7' ELSE concat(lpad(cast(o_custkey % 30 AS string), 3, '0'), "
                   "CASE WHEN o_custkey % 4 = 2 THEN 'b' ELSE '' END) END")
-    return table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(
+    return table(spark, sf, "orders").select(
         F.concat(texts.day_prefix(F.col("o_orderdate")), tail).alias("name"))
 
 
@@ -335,14 +335,16 @@ def taken_numbers(spark, sf):
     return intake.taken_numbers(_existing_names(spark, sf))
 
 
-@query("daily_names", f"""WITH {_TAKEN}, n AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS d,
-  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y%m%d') ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT o_orderkey AS document_id, printf('shot-%s-%03d', n.d, cast(coalesce(taken, 0) + nth AS bigint)) AS name
+@query("daily_names", f"""{view_sql('regions')}, {_TAKEN}, n AS (SELECT region_id, strftime(found_at, '%Y%m%d') AS d,
+  row_number() OVER (PARTITION BY strftime(found_at, '%Y%m%d') ORDER BY document_id, region_id) AS nth FROM regions)
+SELECT region_id AS document_id, printf('shot-%s-%03d', n.d, cast(coalesce(taken, 0) + nth AS bigint)) AS name
 FROM n LEFT JOIN taken t ON t.d = n.d""")
 def daily_names(spark, sf):
-    new = table(spark, sf, "orders").filter("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS document_id", "o_orderdate AS day")
-    named = intake.assign_names(new, _existing_names(spark, sf), "day", ["document_id"], [F.floor(F.col("document_id") / 4096)])
-    return named.select("document_id", "name")
+    """The rows of one table stand for new documents, those of another for the names already given."""
+    new = view(spark, sf, "regions").select("region_id", "document_id", F.col("found_at").alias("day"))
+    named = intake.assign_names(
+        new, _existing_names(spark, sf), "day", ["document_id", "region_id"], [F.floor(F.col("document_id") / 4096)])
+    return named.select(F.col("region_id").alias("document_id"), "name")
 
 
 @query("orphan_folders", """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('shot-', doc_id) ELSE
