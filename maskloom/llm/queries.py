@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import byte_bpe
+from maskloom.llm import byte_bpe, licences, quality_classifier
 from maskloom.llm.records import REGION_ID, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
@@ -25,3 +25,38 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(byte_bpe.joined_ids(), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_license_scans")
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_regions(spark, sf_dir))
+    base = F.filter("detections", lambda d: d["base"])
+
+    def labels(of):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+
+    return found.select(
+        F.col(REGION_ID).alias("doc_id"),
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["first"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("detections")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
+        F.size("detections").cast("bigint").alias("n_detections"),
+    )
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, labels = _regions(spark, sf_dir), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col(REGION_ID).cast("string").cast("binary")) % 5
+    learn = labels.select(F.col("doc_id").alias(REGION_ID), "quality").filter(fold != 0)
+    model = quality_classifier.fit_quality(regions.join(learn, REGION_ID))
+    return quality_classifier.score_quality(regions, model).select(
+        F.col(REGION_ID).alias("doc_id"),
+        (fold == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
