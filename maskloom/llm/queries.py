@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import byte_bpe, licences, quality_classifier
-from maskloom.llm.records import REGION_ID, text_regions
+from maskloom.llm import byte_bpe, licences, quality_classifier, quality_rules
+from maskloom.llm.records import REGION_ID, stored, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
 
@@ -60,3 +60,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stored(quality_rules.text_statistics(_regions(spark, sf_dir)), "statistics")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias(REGION_ID), "quality")
+    rules = quality_rules.learn_rules(counts.join(labels, REGION_ID))
+    return counts.select(
+        F.col(REGION_ID).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_rules.base_failed().alias("base_failed"),
+        (~quality_rules.base_failed() & quality_rules.verdict(rules)).alias("kept"),
+    )
