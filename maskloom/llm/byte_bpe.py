@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskloom.llm.records import REGION_ID, TEXT, slices, texts_of
 
-_loaded: dict[int, tuple] = {}
+_loaded: dict[int, object] = {}
 
 
 def read_ranks(path: str) -> bytes:
@@ -33,13 +33,13 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-def build_tokenizer(tokens: list[bytes], pattern: str):
-    """A BPE model of the tokenizers library that merges as the ranks say.
+def build_tokenizer(tokens: list[bytes]):
+    """A BPE model of the tokenizers library that merges the bytes of one piece as the ranks say.
 
     Every split of a token into two tokens is a merge, ordered by the rank of what it makes: any two
     neighbours whose bytes together are a token may join, and the lowest rank joins first.
     """
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     shown = byte_characters()
     names = ["".join(shown[b] for b in t) for t in tokens]
@@ -50,18 +50,43 @@ def build_tokenizer(tokens: list[bytes], pattern: str):
     ]
     model = models.BPE(vocab={n: i for i, n in enumerate(names) if n}, merges=merges, fuse_unk=False)
     out = Tokenizer(model)
-    out.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), behavior="isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-    ])
+    out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return out
 
 
-def _worker_tokenizer(ranks: bytes, pattern: str) -> tuple:
+class PieceEncoder:
+    """Cuts texts into pieces by a pattern and encodes each distinct piece once.
+
+    Ids of pieces are remembered across texts, up to ``MOST`` pieces or ``MOST_BYTES``; beyond that
+    memory begins anew, and only time is lost.
+    """
+    MOST, MOST_BYTES = 400_000, 32 << 20
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import regex
+
+        tokens = token_bytes(ranks)
+        self.tokenizer, self.pattern = build_tokenizer(tokens), regex.compile(pattern)
+        self.widths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [self.pattern.findall(t) for t in texts]
+        if len(self.known) > self.MOST or self.held > self.MOST_BYTES:
+            self.known, self.held = {}, 0
+        new = list({p for own in pieces for p in own} - self.known.keys())
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[piece] = ids = np.array(e.ids, dtype=np.int32).tobytes()
+            self.held += len(ids)
+        known = self.known
+        return [np.frombuffer(b"".join([known[p] for p in own]), np.int32) for own in pieces]
+
+
+def _worker_encoder(ranks: bytes, pattern: str) -> PieceEncoder:
     key = hash((ranks, pattern))
     if key not in _loaded:
-        tokens = token_bytes(ranks)
-        _loaded[key] = build_tokenizer(tokens, pattern), np.array([len(t) for t in tokens], dtype=np.int64)
+        _loaded[key] = PieceEncoder(ranks, pattern)
     return _loaded[key]
 
 
@@ -90,14 +115,14 @@ def encode_texts(regions: DataFrame, ranks: bytes, pattern: str, offsets: bool =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, widths = _worker_tokenizer(shared.value, pattern)
+        encoder = _worker_encoder(shared.value, pattern)
         for rows, data, bounds in slices(batches, TEXT, 1 << 18):
             texts = [t.decode("utf-8", "replace") for t in texts_of(data, bounds)]
-            ids = [np.array(e.ids, dtype=np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = encoder.encode(texts)
             lengths = np.array([len(x) for x in ids])
             columns = [rows.column(0), _list_column(ids, lengths)]
             if offsets:
-                spans = [_character_spans(widths[x], np.frombuffer(t.encode(), np.uint8)) for x, t in zip(ids, texts)]
+                spans = [_character_spans(encoder.widths[x], np.frombuffer(t.encode(), np.uint8)) for x, t in zip(ids, texts)]
                 columns += [_list_column([s[k] for s in spans], lengths) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -127,10 +152,16 @@ def decode_tokens(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(shared.value)
+        widths = np.array([len(t) for t in tokens], dtype=np.int64)
+        table, begins = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(widths) - widths
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("token_ids"))
-            joined = [b"".join([tokens[i] for i in x]) if x else b""
-                      for row in range(0, len(lists), 64) for x in lists.slice(row, 64).to_pylist()]
+            joined = []
+            for ids in lists:
+                ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+                width = widths[ids]
+                ends = np.cumsum(width)
+                joined.append(table[np.repeat(begins[ids] - ends + width, width) + np.arange(width.sum())].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.binary())], names=names)
 
     names = [f.name for f in fields] + ["decoded"]
