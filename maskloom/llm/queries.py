@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import byte_bpe, licences, quality_classifier, quality_rules
+from maskloom.llm import byte_bpe, licences, near_copies, quality_classifier, quality_rules
 from maskloom.llm.records import REGION_ID, stored, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
@@ -72,3 +72,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.base_failed().alias("base_failed"),
         (~quality_rules.base_failed() & quality_rules.verdict(rules)).alias("kept"),
     )
+
+
+@query("op2_minhash_near_copies")
+def op2_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_regions(spark, sf_dir)).withColumnRenamed(REGION_ID, "doc_id")
