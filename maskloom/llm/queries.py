@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import byte_bpe, licences, near_copies, quality_classifier, quality_rules
+from maskloom.llm import byte_bpe, licences, near_copies, near_vectors, quality_classifier, quality_rules, repeats
 from maskloom.llm.records import REGION_ID, stored, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
@@ -77,3 +77,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_near_copies")
 def op2_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_regions(spark, sf_dir)).withColumnRenamed(REGION_ID, "doc_id")
+
+
+@query("op6_near_vectors")
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(near_vectors.ID), "embedding")
+    return near_vectors.near_vectors(images).withColumnRenamed(near_vectors.ID, "vec_id")
+
+
+@query("op7_cut_repeats")
+def op7_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(_regions(spark, sf_dir)).select(
+        F.col(REGION_ID).alias("doc_id"), F.size("cuts").cast("bigint").alias("n_cuts"),
+        F.coalesce(F.aggregate("cuts", F.lit(0).cast("bigint"), lambda n, c: n + c["last"] - c["first"]), F.lit(0)).alias("cut_chars"),
+        "cuts", F.col("original_text").alias("text"))
