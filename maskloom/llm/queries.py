@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import byte_bpe, licences, near_copies, near_vectors, quality_classifier, quality_rules, repeats
+from maskloom.llm import (
+    byte_bpe, dialogues, licences, mixing, near_copies, near_vectors, quality_classifier, quality_rules, repeats,
+)
 from maskloom.llm.records import REGION_ID, stored, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
@@ -91,3 +93,39 @@ def op7_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(REGION_ID).alias("doc_id"), F.size("cuts").cast("bigint").alias("n_cuts"),
         F.coalesce(F.aggregate("cuts", F.lit(0).cast("bigint"), lambda n, c: n + c["last"] - c["first"]), F.lit(0)).alias("cut_chars"),
         "cuts", F.col("original_text").alias("text"))
+
+
+#: Shares of all tokens that the mix is to have.
+MIX = {"clean": 0.94, "toxic": 0.03, "junk": 0.03}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """The labelled table's marks as domains."""
+    return labels.select(F.col("doc_id").alias(REGION_ID), F.expr(
+        "CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' END").alias("domain"))
+
+
+@query("op8_soft_mixing")
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, model, rates = mixing.mixed_rates(_regions(spark, sf_dir), domain_labels(table(spark, sf_dir, "labels")), MIX)
+    rate = rates.column()
+    return members.select(
+        F.col(REGION_ID).alias("doc_id"), "n_tokens",
+        *[F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)],
+        rate.alias("rate"), mixing.copies(rate, F.col(REGION_ID)).alias("copies"))
+
+
+@query("op5_chat_formatting")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("messages"))
+    said = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), said.alias("prompt"), said.alias("completion"))
+    records = told.unionByName(planted, allowMissingColumns=True)
+    texts = dialogues.formatted(dialogues.canonical_turns(records, "conv_id"), "conv_id")
+    back = dialogues.read_back(texts, "conv_id")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(F.array_join("learned", "")).cast("bigint").alias("loss_chars"),
+        F.sha2(F.array_join("learned", ""), 256).alias("loss_sha256"), "formatted_chars")
