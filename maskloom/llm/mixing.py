@@ -12,8 +12,8 @@ from maskloom.llm.records import REGION_ID, TEXT, stored
 
 #: Hashed word bins of the classifier, and about how many labelled texts its bin counts are taken from.
 BINS, SAMPLE = 2048, 20_000
-#: Gradient steps between two rewrites of the rates.
-REWRITE = 8
+#: Gradient steps between two rewrites of the rates, and the part by which the default budget exceeds the least one.
+REWRITE, SLACK = 8, 0.01
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -111,7 +111,8 @@ def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float],
     ``r <- max(0, r - step * sum_k p_k miss_k)``. All texts count; a step is one aggregation over ``members`` that
     returns one number per domain. Steps end when every miss is under ``tolerance`` of the budget.
 
-    ``budget`` is by default all tokens. A domain without weight has target 0; domains that no text belongs to
+    ``budget`` is by default the least at which no present domain has to shrink, so that a mix adds repeats and
+    loses nothing; a smaller one thins out. A domain without weight has target 0; domains that no text belongs to
     are left out. Without tokens all rates stay 1.
     """
     k = len(model.domains)
@@ -124,7 +125,8 @@ def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float],
     share = sum(max(weights.get(d, 0.0), 0.0) for d in model.domains)
     if not whole or not share:
         return Rates([], present, present)
-    budget = whole if budget is None else budget
+    if budget is None:
+        budget = (1 + SLACK) * max([s * share / weights[d] for s, d in zip(present, model.domains) if weights.get(d, 0.0) > 0])
     targets = [max(weights.get(d, 0.0), 0.0) / share * budget for d in model.domains]
     scale = [s if s > 1e-9 * whole else math.inf for s in present]
     # The largest eigenvalue of the scaled second moments is at most their largest row sum: a step of its inverse is safe.
@@ -148,8 +150,9 @@ def copies(rate: Column, region_id: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mixed_rates(regions: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, DomainModel, Rates]:
+def mixed_rates(regions: DataFrame, labelled: DataFrame, weights: dict[str, float],
+                budget: float | None = None) -> tuple[DataFrame, DomainModel, Rates]:
     """Memberships of all regions in a stored table, the classifier, and the rates that meet ``weights``."""
     model = fit_domains(labelled, regions)
     members = stored(memberships(regions, model), "memberships")
-    return members, model, fit_rates(members, model, weights)
+    return members, model, fit_rates(members, model, weights, budget)
