@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.llm import (
-    byte_bpe, dialogues, licences, mixing, near_copies, near_vectors, quality_classifier, quality_rules, repeats,
+    byte_bpe, dialogues, language_model, licences, mixing, near_copies, near_vectors, quality_classifier, quality_rules, repeats,
 )
 from maskloom.llm.records import REGION_ID, stored, text_regions
 from maskloom.plans.registry import query
@@ -130,3 +130,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(F.array_join("learned", "")).cast("bigint").alias("loss_chars"),
         F.sha2(F.array_join("learned", ""), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op4_katz_backoff")
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = _regions(spark, sf_dir)
+    held_out = F.crc32(F.col(REGION_ID).cast("string").cast("binary")) % 7 == 2
+    model = language_model.learn(regions.filter(~F.coalesce(held_out, F.lit(False))))
+    return language_model.score(regions, model).select(
+        F.col(REGION_ID).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
