@@ -23,7 +23,7 @@ UNKNOWN_MIME = "application/octet-stream"
 
 def strict_base64(text: Column) -> Column:
     """Decoded bytes, or null. Unlike ``try_to_binary`` alone this insists on padding."""
-    well_formed = (F.length(text) % 4 == 0) & text.rlike(r"^[A-Za-z0-9+/]*={0,2}$")
+    well_formed = (F.length(text) % 4 == 0) & text.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z")
     return F.when(well_formed, F.try_to_binary(text, F.lit("base64")))
 
 

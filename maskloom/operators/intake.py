@@ -30,7 +30,7 @@ def with_dimensions(requests: DataFrame) -> DataFrame:
 def base64_refusal(data_url: Column, size: Column | None = None) -> Column:
     """First reason against an inline image, or null."""
     content = I.strict_base64(I.data_url_payload(data_url))
-    size = I.image_size(content) if size is None else size
+    size = I.image_size(content, jpeg=True) if size is None else size
     return (
         F.when(I.data_url_payload(data_url).isNull(), "invalid_data_url")
         .when(content.isNull(), "invalid_base64")
@@ -46,7 +46,7 @@ def inline_assets(requests: DataFrame, data_url: str = "image_data") -> DataFram
     decoded = requests.withColumn("content", I.strict_base64(I.data_url_payload(url)))
     return (
         decoded.withColumn("content_type", I.data_url_type(url))
-        .withColumn("size", I.image_size(F.col("content")))
+        .withColumn("size", I.image_size(F.col("content"), jpeg=True))
         .withColumn(
             "refusal",
             F.when(I.data_url_payload(url).isNull(), "invalid_data_url")
@@ -63,7 +63,7 @@ def fetched_assets(fetches: DataFrame) -> DataFrame:
     """Judge fetched images ``(image_url, http_status, error, content_type_header, content)``."""
     return (
         fetches.withColumn("content_type", I.header_type(F.col("content_type_header")))
-        .withColumn("size", I.image_size(F.col("content")))
+        .withColumn("size", I.image_size(F.col("content"), jpeg=True))
         .withColumn(
             "refusal",
             F.coalesce(

@@ -140,8 +140,9 @@ def _meet(t: float) -> Column:
 
 
 def _tile_rounds(boxes: DataFrame, t: float, frontier: int) -> DataFrame:
-    flat = (F.col("w") <= 0) | (F.col("h") <= 0)
-    kept = [boxes.filter(flat)]  # a box without area overlaps nothing
+    whole = (F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    flat = ~F.coalesce(whole, F.lit(False))
+    kept = [boxes.filter(flat)]  # a box without area, or with an unknown side, overlaps nothing
     # Of equal boxes only the leading one can stay; this also dissolves heaps of copies early.
     geometry = ["document_id", "x", "y", "w", "h"]
     open_boxes = (

@@ -184,19 +184,19 @@ _FETCHED = f"""{view_sql('links')}, f AS (SELECT l.link_id, l.image_url, d.doc_i
   CASE WHEN l.link_id % 8 = 0 THEN 404 ELSE 200 END AS http_status,
   CASE WHEN l.link_id % 23 = 0 THEN 'timeout' END AS error,
   CASE l.link_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'text/html; charset=utf-8' ELSE 'image/gif; q=1' END AS header
-  FROM links l JOIN documents d ON d.doc_id = l.link_id)"""
+  FROM links l LEFT JOIN documents d ON d.doc_id = l.link_id)"""
 
 
 @query("fetched_images", f"""{_FETCHED}
 SELECT link_id, coalesce(split_part(header, ';', 1), 'image/png') AS content_type,
-  sha256(concat('GIF89a', text)) AS sha256,
+  sha256('GIF89a' || text) AS sha256,
   coalesce({refusal_sql('image_url')}, error, CASE WHEN http_status <> 200 THEN concat('HTTP ', http_status) END,
-    CASE WHEN coalesce(split_part(header, ';', 1), 'image/png') NOT IN ('image/png', 'image/gif') THEN 'unsupported_content_type' END
-  ) AS refusal FROM f""")
+    CASE WHEN coalesce(split_part(header, ';', 1), 'image/png') NOT IN ('image/png', 'image/gif') THEN 'unsupported_content_type' END,
+    CASE WHEN text IS NULL THEN 'identify_failed' END) AS refusal FROM f""")
 def fetched_images(spark, sf):
     links = view(spark, sf, "links").select("link_id", "image_url")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("link_id"), "text")
-    f = links.join(docs, "link_id").selectExpr(
+    f = links.join(docs, "link_id", "left").selectExpr(
         "link_id", "image_url", "CASE WHEN link_id % 8 = 0 THEN 404 ELSE 200 END AS http_status",
         "CASE WHEN link_id % 23 = 0 THEN 'timeout' END AS error",
         "CASE link_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'text/html; charset=utf-8' ELSE 'image/gif; q=1' END AS content_type_header",

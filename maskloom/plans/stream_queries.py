@@ -10,18 +10,14 @@ from maskloom.plans.spatial_queries import suppression_sql
 from maskloom.session import fresh_dir
 from maskloom.sources import captures as C
 from maskloom.sources.adapters import VIEWS, table, view, view_sql
-from maskloom.sources.image_files import read_image_files
 from maskloom.streaming import jobs
 
 _SIX_HOURS = 6 * 3600 * 1000
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
-    return (
-        spark.readStream.schema(table(spark, sf_dir, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    """A given table as a file stream. As a pattern the path serves a single file and a folder of part files alike."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _stream_view(spark, sf, name):
@@ -49,8 +45,7 @@ def throttled_events(spark, sf):
 
 @query("throttled_events_stream", _PASSED)
 def throttled_events_stream(spark, sf):
-    out = jobs.throttled(_events(_stream(spark, sf, "events")), _SIX_HOURS)
-    return jobs.run_available(out, "throttle").select("key", "seq")
+    return jobs.throttled(_events(_stream(spark, sf, "events")), _SIX_HOURS).select("key", "seq")
 
 
 @query("debounced_events", _LASTS)
@@ -58,12 +53,9 @@ def debounced_events(spark, sf):
     return pacing.debounced(_events(table(spark, sf, "events")), _SIX_HOURS, 5 * 24 * 3600 * 1000).select("key", "seq")
 
 
-@query("debounced_events_stream", f"""{_EVENTS} SELECT a.key, a.seq FROM e a LEFT JOIN e b ON b.key = a.key AND b.rn = a.rn + 1
-WHERE (b.ts IS NULL OR b.ts - a.ts >= INTERVAL 6 HOUR)
-  AND a.ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
+@query("debounced_events_stream", _LASTS)
 def debounced_events_stream(spark, sf):
-    """Bursts still open at the end of the stream stay with the watermark; the statement leaves them out too."""
-    return jobs.run_available(jobs.debounced(_events(_stream(spark, sf, "events")), _SIX_HOURS), "debounce").select("key", "seq")
+    return jobs.debounced(_events(_stream(spark, sf, "events")), _SIX_HOURS, 5 * 24 * 3600 * 1000).select("key", "seq")
 
 
 @query("unseen_candidates_stream", "SELECT DISTINCT user_id * 10 + event_id % 7 AS element FROM events")
@@ -150,7 +142,7 @@ def folded_updates_stream(spark, sf):
     base, out = fresh_dir(spark, "documents"), fresh_dir(spark, "updates")
     view(spark, sf, "captured").write.parquet(base)
     jobs.run_batches(_changes(_stream(spark, sf, "orders")), "updates", jobs.update_batch(base, out))
-    return spark.read.parquet(f"{out}/documents/version=1").select("document_id", "status", "width")
+    return jobs.newest_documents(spark, out).select("document_id", "status", "width")
 
 
 @query("refused_updates", f"WITH {_CHANGES} SELECT document_id, seq FROM c WHERE status = 'lost'")
@@ -170,10 +162,3 @@ def documents_by_state(spark, sf):
     path = fresh_dir(spark, "documents-by-state")
     C.write_documents(docs, path)
     return C.documents_where(spark, path, "ready", "site7.example.com").select("request_id")
-
-
-@query("asset_files")
-def asset_files(spark, sf):
-    """The table files themselves as binary assets; a file beyond the size limit is refused unread."""
-    return read_image_files(spark, sf, "*.parquet").select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "content_type", "sha256", "refusal")

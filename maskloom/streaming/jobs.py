@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskloom.functions import urls
-from maskloom.operators import intake, suppression, updates, validation
+from maskloom.operators import intake, pacing, suppression, updates, validation
 from maskloom.session import fresh_dir
 
 
@@ -65,10 +63,11 @@ def intake_batch(captures: DataFrame, batch: int, out: str) -> None:
         "request_id", "source_url", "capture_mode", "source", "source_domain",
         F.coalesce("width", "size.w").alias("width"), F.coalesce("height", "size.h").alias("height"),
         "sha256", refusal.alias("refusal"),
-    ).withColumn("status", F.when(F.col("refusal").isNull(), "ready").otherwise("error"))
+    ).withColumn("status", F.when(F.col("refusal").isNull(), "ready").otherwise("error")).persist()
     _write_batch(done, f"{out}/documents", batch)
     feed = docs.filter("valid").select("request_id", F.lit(0).alias("step"), F.lit("loading").alias("status"))
     _write_batch(feed.unionByName(done.select("request_id", F.lit(1).alias("step"), "status")), f"{out}/states", batch)
+    done.unpersist()
     captures.unpersist()
 
 
@@ -82,39 +81,66 @@ def unseen(candidates: DataFrame, key: str, at: str, delay: str = "1 day") -> Da
     return candidates.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
+def run_carried(events: DataFrame, label: str, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Run a stream of events ``(key, at, seq)`` whose batches hand rows on; across batches it must be in time order.
+
+    ``step`` sees what the batch before handed on together with the new events and returns what is emitted and
+    what is handed on, at most a row per key. Both are written per batch, so a repeated batch replaces
+    itself. Returns everything emitted and what the last batch handed on. No key is gathered in one task.
+    """
+    spark, out = events.sparkSession, fresh_dir(events.sparkSession, label)
+    done: list[int] = []
+
+    def handle(new: DataFrame, batch: int) -> None:
+        rows = new.withColumn("carried", F.lit(False))
+        if batch:
+            rows = rows.unionByName(spark.read.schema(new.schema).parquet(f"{out}/carried/after={batch - 1}").withColumn("carried", F.lit(True)))
+        rows = rows.persist()
+        emitted, carried = step(rows)
+        _write_batch(emitted.select(*new.columns), f"{out}/emitted", batch)
+        carried.select(*new.columns).write.mode("overwrite").parquet(f"{out}/carried/after={batch}")
+        rows.unpersist()
+        done.append(batch)
+
+    run_batches(events, label, handle)
+    if not done:
+        none = spark.createDataFrame([], events.schema)
+        return none, none
+    read = spark.read.schema(events.schema)
+    return read.parquet(*[f"{out}/emitted/batch={n}" for n in done]), read.parquet(f"{out}/carried/after={done[-1]}")
+
+
+def _newest(events: DataFrame) -> DataFrame:
+    at = F.struct("at", "seq")
+    return events.groupBy("key").agg(F.max(at).alias("e")).select("key", "e.at", "e.seq")
+
+
 def throttled(events: DataFrame, interval_ms: int) -> DataFrame:
-    """Events ``(key, at, seq)`` that pass, with the time of the last pass as keyed state.
+    """Events ``(key, at, seq)`` of a stream that pass, over what is available; the last one that passed is handed on.
 
-    A micro-batch is ordered by time per key; across batches the input must arrive in time order.
-    Bound the batch size at the source (for files ``maxFilesPerTrigger``), as one key's share of a
-    batch is handled together.
+    That event is the earliest of its key in the next batch and passes there too, so every batch is the
+    batch form of the question.
     """
-    gap = pd.Timedelta(milliseconds=interval_ms)
-
-    def passing(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["at", "seq"], ignore_index=True)
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        keep = []
-        for i, at in enumerate(rows["at"]):
-            if last is None or at - last >= gap:
-                keep.append(i)
-                last = at
-        state.update((int(last.value // 1000),))
-        yield rows.iloc[keep][["key", "at", "seq"]]
-
-    shape = events.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "seq")
-    return shape.groupBy("key").applyInPandasWithState(
-        passing, shape.schema, "last_us long", "append", GroupStateTimeout.NoTimeout)
-
-
-def debounced(events: DataFrame, pause_ms: int, delay: str = "1 minute") -> DataFrame:
-    """Last event of each burst ``(key, at, seq)``; a burst is a session and leaves after the watermark."""
-    burst = F.session_window("at", f"{int(pause_ms)} milliseconds")
-    return (
-        events.withWatermark("at", delay).groupBy("key", burst)
-        .agg(F.max_by(F.struct("at", "seq"), F.struct("at", "seq")).alias("e"))
-        .select("key", "e.at", "e.seq")
-    )
+    def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        passed = pacing.throttled(rows, interval_ms)
+        return passed.filter("NOT carried"), _newest(passed)
+
+    return run_carried(events, "throttle", step)[0]
+
+
+def debounced(events: DataFrame, pause_ms: int, slice_ms: int | None = None) -> DataFrame:
+    """Last event of each burst ``(key, at, seq)`` of a stream, over what is available.
+
+    The newest event of a key is handed on, as its burst may go on; those still open at the end
+    are the last events of theirs.
+    """
+    def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        newest = _newest(rows)
+        lasts = pacing.debounced(rows, pause_ms, slice_ms)
+        return lasts.join(newest, ["key", "at", "seq"], "left_anti"), newest
+
+    emitted, open_ = run_carried(events, "debounce", step)
+    return emitted.unionByName(open_)
 
 
 def progressive_batch(boxes: DataFrame, batch: int, out: str, iou_threshold: float) -> None:
@@ -170,3 +196,10 @@ def update_batch(documents_path: str, out: str) -> Callable[[DataFrame, int], No
         updates.folded(current, changes).write.mode("overwrite").parquet(f"{out}/documents/version={batch + 1}")
 
     return handle
+
+
+def newest_documents(spark: SparkSession, out: str) -> DataFrame:
+    """The table after the last batch that :func:`update_batch` handled."""
+    versions = spark.read.parquet(f"{out}/documents")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")

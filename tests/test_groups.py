@@ -138,7 +138,7 @@ def test_throttle_stream_keeps_state_between_batches(spark):
         events(spark, rows[i:i + 80]).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
     stream = spark.readStream.schema(events(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = {r.seq for r in jobs.run_available(jobs.throttled(stream, 400), "t").collect()}
+    got = {r.seq for r in jobs.throttled(stream, 400).collect()}
     assert got == passing(rows, 400)
 
 
@@ -204,3 +204,55 @@ def test_updates(spark):
                                "document_id long, seq long, status string, width int")
     assert {tuple(r) for r in updates.folded(docs, ch).collect()} == {(1, "ready", 20), (2, "ready", None)}
     assert updates.judged_updates(ch).filter("NOT valid").count() == 1
+
+
+def _foldered(spark, rows, parts):
+    import time
+
+    path = fresh_dir(spark, "events")
+    for i in range(0, len(rows), -(-len(rows) // parts)):
+        events(spark, rows[i:i - (-len(rows) // parts)]).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # file streams order files by their time stamp
+    return spark.readStream.schema(events(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_debounce_stream_over_several_batches_ends_every_burst(spark):
+    rows = _log(6, 240)
+    got = {r.seq for r in jobs.debounced(_foldered(spark, rows, 3), 150, 2000).collect()}
+    assert got == {r.seq for r in pacing.debounced(events(spark, rows), 150, 2000).collect()}
+
+
+def test_streams_read_files_and_folders_alike(spark):
+    from maskloom.plans.stream_queries import _stream
+
+    df = events(spark, _log(1, 30))
+    home = fresh_dir(spark, "tables")
+    df.repartition(3).write.parquet(f"{home}/events.parquet")
+    assert jobs.run_available(_stream(spark, home, "events"), "folder").count() == 30
+    single = "/root/testdata/sf0.001"
+    assert jobs.run_available(_stream(spark, single, "events"), "file").count() == spark.read.parquet(f"{single}/events.parquet").count()
+
+
+def test_updates_over_several_batches(spark):
+    docs = spark.createDataFrame([(i, "loading", 1) for i in range(6)], "document_id long, status string, width int")
+    changes = spark.createDataFrame([(i % 6, n, "ready" if n % 2 else "error", n) for n, i in enumerate(range(18))],
+                                    "document_id long, seq long, status string, width int")
+    base, out, path = (fresh_dir(spark, k) for k in ("base", "out", "changes"))
+    docs.write.parquet(base)
+    import time
+    for k in range(3):
+        changes.filter(f"seq >= {6 * k} AND seq < {6 * k + 6}").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.run_batches(stream, "updates", jobs.update_batch(base, out))
+    from maskloom.operators import updates
+    want = {tuple(r) for r in updates.folded(docs, changes).select("document_id", "status", "width").collect()}
+    assert {tuple(r) for r in jobs.newest_documents(spark, out).select("document_id", "status", "width").collect()} == want
+
+
+def test_unknown_sides_and_scores_on_both_sides_of_the_size_switch(spark):
+    rows = [(1, f"r{i}", 10.0 * (i % 4), 5.0, None if i == 3 else 12.0, None if i == 5 else 9.0, None if i % 6 == 4 else 1 - i / 50)
+            for i in range(20)] + [(1, "f", 0.0, 0.0, 0.0, 5.0, 0.9), (1, "n", None, 1.0, 5.0, 5.0, 0.2)]
+    df = spark.createDataFrame(rows, "document_id long, region_id string, x double, y double, w double, h double, score double")
+    few, many = ({r.region_id for r in S.surviving_boxes(df, 0.4, array_limit=n).collect()} for n in (2, 512))
+    assert few == many and {"r3", "r5", "f", "n"} <= few

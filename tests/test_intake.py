@@ -194,3 +194,18 @@ def test_append_and_lookup(spark, tmp_path):
     found = captures.documents_where(spark, str(tmp_path / "d"), status="ready", source_domain="x.org")
     assert [r.id for r in found.collect()] == [1]
     assert "PartitionFilters: [isnotnull(status" in found._jdf.queryExecution().toString()
+
+
+def test_jpeg_on_both_intake_paths_and_strict_line_ends(spark):
+    import base64
+
+    jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC0001108012C01900301220002110103110100") + b"x"
+    plain = base64.b64encode(jpeg).decode()
+    inline = intake.inline_assets(spark.createDataFrame(
+        [(1, "data:image/jpeg;base64," + plain), (2, "data:image/jpeg;base64," + plain + "\n")], "id int, image_data string"))
+    got = {r.id: (r.refusal, r["size"].w, r["size"].h) for r in inline.collect()}
+    assert got == {1: (None, 400, 300), 2: ("invalid_base64", None, None)}
+    fetched = intake.fetched_assets(spark.createDataFrame(
+        [("https://img.example.com/a.jpg", 200, None, "image/jpeg", bytearray(jpeg))],
+        "image_url string, http_status int, error string, content_type_header string, content binary")).first()
+    assert (fetched.refusal, fetched["size"].w, fetched["size"].h) == (None, 400, 300)
