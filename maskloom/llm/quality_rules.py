@@ -73,11 +73,10 @@ def text_statistics(regions: DataFrame, keep: list[str] | None = None) -> DataFr
     covered = F.aggregate(
         F.transform("_places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_places"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0), lambda a, n: a + n)
-    # The row number keeps conditions on the counts above this step: pushed below, each would count anew.
-    return fourth.select(
-        *keep, *[F.col(c).cast("bigint").alias(c) for c in COUNTS if c != "n_repeat_words"],
-        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), F.monotonically_increasing_id().alias("_row"),
-    ).select(*keep, *COUNTS, "_row")
+    # A generator of one row keeps conditions on the counts above it: pushed below, each would count anew.
+    row = F.struct(*[F.col(c).cast("bigint").alias(c) for c in COUNTS if c != "n_repeat_words"],
+                   F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
+    return fourth.select(*keep, F.inline_outer(F.array(row))).select(*keep, *COUNTS)
 
 
 @dataclass(frozen=True)
