@@ -52,7 +52,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _, model, rates = mixing.mixed_rates(text_regions(docs), domain_labels(docs), MIX)
     members = mixing.memberships(_boxed(docs), model, keep=[REGION_ID, ROW])
     often = members.select(ROW, mixing.copies(rates.column(), F.col(REGION_ID)).alias("copies"))
-    return often.select(ROW, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(f"{ROW}.*")
+    # The outer form, as the plain one would test the array's size below all that made it, and so make it twice.
+    repeated = often.select(ROW, F.explode_outer(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return repeated.filter("copy IS NOT NULL").select(f"{ROW}.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
