@@ -1,8 +1,9 @@
 """Joins between regions, pointers and selection windows.
 
-All of them meet on ``(document, tile)`` instead of the document alone, so that one document with
-very many regions is spread over its tiles. A pair meets in exactly one tile: the one that holds
-the top left corner of the common area.
+All of them meet on ``(document, level, tile)`` instead of the document alone, so that one document with
+very many regions is spread over its tiles. The tiles of a level are as large as its boxes, so a box lies
+in four of them at most. A pair meets in exactly one tile: the one that holds the top left corner of
+the common area on the level of the larger box.
 """
 
 from __future__ import annotations
@@ -19,27 +20,47 @@ OPAQUE_ABOVE = 10
 STAGGER_MS = 200
 
 TILE = 64.0
+# Tiles double in size from level to level, up to this one.
+LEVELS = 12
 
 
 def _b(alias: str) -> Column:
     return B.box(F.col(f"{alias}.x"), F.col(f"{alias}.y"), F.col(f"{alias}.w"), F.col(f"{alias}.h"))
 
 
-def _tiled(df: DataFrame, tile: float) -> DataFrame:
-    return (
-        df.withColumn("tile_x", F.explode(B.covered_tiles(F.col("x"), F.col("x") + F.col("w"), tile)))
-        .withColumn("tile_y", F.explode(B.covered_tiles(F.col("y"), F.col("y") + F.col("h"), tile)))
-    )
+def _level(df: DataFrame, tile: float) -> Column:
+    """The first level whose tiles are no smaller than the box."""
+    side = F.greatest(F.col("w"), F.col("h"), F.lit(0.0)) / tile
+    return F.least(F.lit(LEVELS), F.when(side > 1, F.ceil(F.log2(side))).otherwise(F.lit(0)).cast("int"))
+
+
+def _levels(df: DataFrame, tile: float) -> Column:
+    """The levels that occur in a table, as an array of at most ``LEVELS + 1``."""
+    found = df.select(_level(df, tile).alias("level")).distinct().collect()
+    return F.array(*[F.lit(r.level) for r in sorted(found)]).cast("array<int>")
+
+
+def _spread(df: DataFrame, levels: Column, tile: float) -> DataFrame:
+    """One row per tile that a box touches on each of ``levels``; on its own level that is four at most."""
+    out = df.withColumn("level", F.explode(levels))
+    scale = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+    for axis, size in (("x", "w"), ("y", "h")):
+        low, high = F.col(axis), F.greatest(F.col(axis), F.col(axis) + F.col(size))
+        out = out.withColumn(f"tile_{axis}", F.explode(F.sequence(F.floor(low / scale), F.floor(high / scale))))
+    return out
 
 
 def point_hits(regions: DataFrame, points: DataFrame, tile: float = TILE) -> DataFrame:
-    """Non-text regions whose box holds the pointer, edges included."""
-    r = _tiled(regions.filter(F.col("type") != "text"), tile).alias("r")
-    p = (
-        points.withColumn("tile_x", B.tile_of(F.col("px"), tile))
-        .withColumn("tile_y", B.tile_of(F.col("py"), tile)).alias("p")
-    )
-    on = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("document_id", "tile_x", "tile_y")]
+    """Non-text regions whose box holds the pointer, edges included.
+
+    A region lies in the tiles of its own level only, a pointer looks into one tile of every level there is.
+    """
+    sized = regions.filter((F.col("type") != "text") & F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("w") + F.col("h")).isNotNull())
+    r = _spread(sized, F.array(_level(sized, tile)), tile).alias("r")
+    scale = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+    p = points.withColumn("level", F.explode(_levels(sized, tile))).withColumns(
+        {"tile_x": F.floor(F.col("px") / scale), "tile_y": F.floor(F.col("py") / scale)}).alias("p")
+    on = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("document_id", "level", "tile_x", "tile_y")]
     return p.join(r, [*on, B.contains_point(_b("r"), F.col("p.px"), F.col("p.py"))]).select(
         "p.document_id", "p.px", "p.py", "r.region_id", "r.x", "r.y", "r.w", "r.h",
         *[F.col(f"r.{c}") for c in regions.columns
@@ -87,10 +108,23 @@ def best_hit(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _window_pairs(regions: DataFrame, windows: DataFrame, tile: float) -> DataFrame:
-    r, m = _tiled(regions, tile).alias("r"), _tiled(windows, tile).alias("m")
-    on = [F.col(f"r.{c}") == F.col(f"m.{c}") for c in ("document_id", "tile_x", "tile_y")]
-    on.append(F.col("r.tile_x") == B.tile_of(F.greatest("r.x", "m.x"), tile))
-    on.append(F.col("r.tile_y") == B.tile_of(F.greatest("r.y", "m.y"), tile))
+    """Pairs that touch. They meet on the level of the larger box, so each lies in few tiles: of its own and of the other's higher levels."""
+    def sized(df: DataFrame) -> DataFrame:
+        known = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("w") + F.col("h")).isNotNull()
+        return df.filter(known).withColumn("own_level", _level(df, tile))
+
+    def spread(df: DataFrame, others: Column) -> DataFrame:
+        higher = F.filter(others, lambda level: level > F.col("own_level"))
+        return _spread(df, F.concat(F.array("own_level"), higher), tile)
+
+    regions, windows = sized(regions), sized(windows)
+    r = spread(regions, _levels(windows, tile)).alias("r")
+    m = spread(windows, _levels(regions, tile)).alias("m")
+    on = [F.col(f"r.{c}") == F.col(f"m.{c}") for c in ("document_id", "level", "tile_x", "tile_y")]
+    on.append(F.col("r.level") == F.greatest("r.own_level", "m.own_level"))
+    scale = F.lit(tile) * F.pow(F.lit(2.0), F.col("r.level"))
+    on.append(F.col("r.tile_x") == F.floor(F.greatest("r.x", "m.x") / scale))
+    on.append(F.col("r.tile_y") == F.floor(F.greatest("r.y", "m.y") / scale))
     on.append(B.touches(_b("r"), _b("m")))
     return r.join(m, on)
 

@@ -91,7 +91,13 @@ def _write_captures(spark, sf):
     url = F.when(F.col("payload").isNull() & (F.col("request_id") % 2 == 0), F.concat(
         F.when(F.col("request_id") % 4 == 0, "http://10.0.0.1/").otherwise("https://img.example.com/"), F.col("request_id")))
     path = fresh_dir(spark, "captures")
-    r.join(docs, "request_id", "left").withColumn("image_data", data).withColumn("image_url", url).drop("payload").write.json(path)
+    box = "'bbox', named_struct('x', i * 10D, 'y', 5D, 'w', 20D, 'h', 8D)"
+    texts = F.expr(f"""CASE WHEN request_id % 4 = 1 THEN transform(sequence(0L, request_id % 3), i -> named_struct({box},
+      'confidence', CASE WHEN i % 2 = 0 THEN 0.75D END, 'original_text', concat('t', request_id, '-', i))) END""")
+    segments = F.expr(f"""CASE WHEN request_id % 5 = 2 THEN transform(sequence(0L, 2L), i -> named_struct({box},
+      'mask_png', CASE WHEN (request_id + i) % 3 = 0 THEN '???' ELSE 'AAAA' END, 'score', 0.5D, 'area', i * 3D)) END""")
+    (r.join(docs, "request_id", "left").withColumn("image_data", data).withColumn("image_url", url)
+     .withColumn("text_regions", texts).withColumn("segment_regions", segments).drop("payload").write.json(path))
     return path
 
 
@@ -101,12 +107,41 @@ _INTAKE = f"""{view_sql('requests')}, v AS (SELECT *, request_id IN (SELECT doc_
 s AS (SELECT request_id, CASE WHEN inline AND request_id % 3 = 0 THEN 'error' WHEN NOT inline AND request_id % 4 = 0 THEN 'error' ELSE 'ready' END AS status FROM v)"""
 
 
-@query("intake_stream", f"""{_INTAKE} SELECT request_id, 0 AS step, 'loading' AS status FROM s UNION ALL SELECT request_id, 1, status FROM s""")
-def intake_stream(spark, sf):
+_NAMES = """n AS (SELECT s.request_id, s.status, printf('shot-%s-%03d', strftime(requested_at, '%Y%m%d'),
+  row_number() OVER (PARTITION BY requested_at ORDER BY s.request_id)) AS name FROM s JOIN requests r ON r.request_id = s.request_id)"""
+
+
+def _taken_in(spark, sf):
     out = fresh_dir(spark, "intake")
     stream = C.stream_captures(spark, _write_captures(spark, sf))
     jobs.run_batches(stream, "intake", lambda df, n: jobs.intake_batch(df, n, out))
-    return spark.read.parquet(f"{out}/states").select("request_id", "step", "status")
+    return out
+
+
+@query("intake_stream", f"""{_INTAKE} SELECT request_id, 0 AS step, 'loading' AS status FROM s UNION ALL SELECT request_id, 1, status FROM s""")
+def intake_stream(spark, sf):
+    return spark.read.parquet(f"{_taken_in(spark, sf)}/states").select("request_id", "step", "status")
+
+
+@query("intake_assets", f"""{_INTAKE}, {_NAMES}
+SELECT request_id AS document_id, request_id || '-original' AS asset_id, 'priv/static/uploads/' || name || '/original.png' AS storage_uri,
+  d.n_chars % 2000 + 1 AS width, request_id % 1000 + 1 AS height FROM n JOIN documents d ON d.doc_id = n.request_id WHERE status = 'ready'""")
+def intake_assets(spark, sf):
+    return spark.read.parquet(f"{_taken_in(spark, sf)}/assets").select(
+        "document_id", "asset_id", "storage_uri", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+
+
+@query("intake_regions", f"""{_INTAKE}, {_NAMES}
+SELECT request_id AS document_id, request_id || '-text-' || i AS region_id, 'text' AS type, i + 1 AS z_index, NULL AS mask_path,
+  CASE WHEN i % 2 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS confidence, 't' || request_id || '-' || i AS original_text
+FROM n, range(3) AS t(i) WHERE status = 'ready' AND request_id % 4 = 1 AND i <= request_id % 3
+UNION ALL SELECT request_id, request_id || '-segment-' || i, 'object', 1001 + i,
+  'priv/static/uploads/' || name || '/masks/segment_' || (i + 1) || '.png', 0.5::DOUBLE, NULL
+FROM n, range(3) AS t(i) WHERE status = 'ready' AND request_id % 5 = 2 AND (request_id + i) % 3 <> 0""")
+def intake_regions(spark, sf):
+    return spark.read.parquet(f"{_taken_in(spark, sf)}/regions").select(
+        "document_id", "region_id", "type", F.col("z_index").cast("long").alias("z_index"), "mask_path", "confidence",
+        F.try_element_at("metadata", F.lit("original_text")).alias("original_text"))
 
 
 @query("captures_from_json", f"""{view_sql('requests')} SELECT request_id, source_url, capture_mode, source, image_width, image_height FROM requests""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "width", "height")])
 _REGION_BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "w", "h")])
@@ -53,9 +53,13 @@ def append_rows(rows: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Document table laid out for lookups by state; rows are sorted by domain so that its statistics prune."""
+    """Document table laid out for lookups by state; rows are sorted by domain so that its statistics prune.
+
+    Ranges end in a hash of the row, so a domain that holds much of the table is cut into several files.
+    """
+    cut = F.xxhash64(*documents.columns)
     (
-        documents.repartition("status", "source_domain").sortWithinPartitions("status", "source_domain")
+        documents.repartitionByRange("status", "source_domain", cut).sortWithinPartitions("status", "source_domain")
         .write.mode("overwrite").partitionBy("status").parquet(path)
     )
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from maskloom.functions import urls
-from maskloom.operators import intake, pacing, suppression, updates, validation
+from maskloom.functions import images, urls
+from maskloom.operators import intake, pacing, regions, suppression, updates, validation
 from maskloom.session import fresh_dir
 
 
@@ -37,40 +37,91 @@ def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def start_intake(captures: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_intake(captures: DataFrame, out: str, checkpoint: str, fetches: DataFrame | None = None) -> StreamingQuery:
     """Continuous form of :func:`intake_batch`."""
     return (
-        captures.writeStream.foreachBatch(lambda df, n: intake_batch(df, n, out))
+        captures.writeStream.foreachBatch(lambda df, n: intake_batch(df, n, out, fetches))
         .option("checkpointLocation", checkpoint).start()
     )
 
 
-def intake_batch(captures: DataFrame, batch: int, out: str) -> None:
+def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame | None = None) -> None:
     """Accept or reject, acknowledge as ``loading``, then process to ``ready`` or ``error``.
 
-    Writes ``states`` (a change feed), ``documents`` and ``rejected`` below ``out``. An inline image
-    is decoded here; for an image address only the guard runs, fetching belongs elsewhere.
+    Writes ``states`` (a change feed), ``documents``, ``assets``, ``regions`` and ``rejected`` below ``out``. Every
+    document gets its name for the day. An inline image is decoded here. An image address passes the guard and,
+    if there is a log ``fetches`` with one row per address as :func:`intake.fetched_assets` takes it, is judged by its
+    outcome; an address that the log lacks ends in ``not_fetched``. A saved image is an asset row; regions
+    are saved for documents that become ``ready``.
     """
     captures = captures.persist()
     docs = intake.captured_documents(captures)
     _write_batch(
         docs.filter("NOT valid").select("request_id", F.to_json(validation.error_report(F.col("errors"))).alias("report")),
         f"{out}/rejected", batch)
-    accepted = intake.inline_assets(docs.filter("valid").drop("errors", "valid"))
-    refusal = F.when(F.col("image_url").isNotNull(), urls.fetch_refusal(F.col("image_url"))).when(
-        F.col("image_data").isNotNull(), F.col("refusal"))
-    done = accepted.select(
-        "request_id", "source_url", "capture_mode", "source", "source_domain",
+    accepted = intake.inline_assets(_named(docs.filter("valid").drop("errors", "valid"), batch, out))
+    kept = ["content_type", "size", "sha256"]
+    if fetches is None:
+        fetched = accepted.withColumn("outcome", F.lit(None).cast("string"))
+        there = F.col("content").isNotNull()
+    else:
+        judged = intake.fetched_assets(fetches).select(
+            "image_url", F.coalesce("refusal", F.lit("")).alias("outcome"), F.struct(*kept).alias("fetch"))
+        fetched = accepted.join(judged, "image_url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("not_fetched")))
+        by_address = F.col("image_url").isNotNull()
+        fetched = fetched.withColumns({c: F.when(by_address, F.col("fetch")[c]).otherwise(F.col(c)) for c in kept})
+        there = F.col("sha256").isNotNull()
+    address = F.coalesce(urls.fetch_refusal(F.col("image_url")), F.nullif("outcome", F.lit("")))
+    refusal = F.when(F.col("image_url").isNotNull(), address).when(F.col("image_data").isNotNull(), F.col("refusal"))
+    saved = there & refusal.isNull()
+    done = fetched.select(
+        "request_id", "name", "source_url", "capture_mode", "source", "source_domain",
         F.coalesce("width", "size.w").alias("width"), F.coalesce("height", "size.h").alias("height"),
-        "sha256", refusal.alias("refusal"),
+        "sha256", refusal.alias("refusal"), F.when(saved, F.concat_ws("-", "request_id", F.lit("original"))).alias("original_asset_id"),
+        "size", "content_type", "text_regions", "segment_regions",
     ).withColumn("status", F.when(F.col("refusal").isNull(), "ready").otherwise("error")).persist()
-    _write_batch(done, f"{out}/documents", batch)
+    _write_batch(done.drop("size", "content_type", "text_regions", "segment_regions"), f"{out}/documents", batch)
+    _write_batch(_assets(done.filter("original_asset_id IS NOT NULL")), f"{out}/assets", batch)
+    _write_batch(_regions(done.filter("status = 'ready'")), f"{out}/regions", batch)
     feed = docs.filter("valid").select("request_id", F.lit(0).alias("step"), F.lit("loading").alias("status"))
     _write_batch(feed.unionByName(done.select("request_id", F.lit(1).alias("step"), "status")), f"{out}/states", batch)
     done.unpersist()
     captures.unpersist()
 
 
+def _named(docs: DataFrame, batch: int, out: str) -> DataFrame:
+    """Names by the day of the request, after those of earlier batches; a request without a day stays unnamed."""
+    spark = docs.sparkSession
+    existing = spark.createDataFrame([], "name string") if not batch else spark.read.parquet(f"{out}/documents").filter(
+        F.col("batch") < batch).select("name")
+    dated = intake.assign_names(docs.filter("requested_at IS NOT NULL"), existing, "requested_at", ["request_id"],
+                                [F.floor(F.col("request_id") / 4096)])
+    return dated.unionByName(docs.filter("requested_at IS NULL").withColumn("name", F.lit(None).cast("string")))
+
+
+def _assets(done: DataFrame) -> DataFrame:
+    return done.select(
+        F.col("original_asset_id").alias("asset_id"), F.col("request_id").alias("document_id"), F.lit("original").alias("kind"),
+        intake.storage_path(F.col("name"), F.col("request_id"), F.lit("original")).alias("storage_uri"),
+        F.col("size.w").alias("width"), F.col("size.h").alias("height"), "sha256",
+        F.create_map(F.lit("content_type"), F.col("content_type")).alias("metadata"))
+
+
+def _regions(ready: DataFrame) -> DataFrame:
+    """Text and segment regions of the payload, layered by their place in it."""
+    def listed(column: str, kind: str) -> DataFrame:
+        return ready.select(F.col("request_id").alias("document_id"), "name", F.posexplode(column).alias("place", "r")).select(
+            "document_id", "name", "place", F.concat_ws("-", "document_id", F.lit(kind), "place").alias("region_id"), "r.*")
+
+    order, coarse = [F.col("place")], [F.floor(F.col("place") / 1024)]
+    texts = regions.text_regions(listed("text_regions", "text"), order, coarse)
+    segments = listed("segment_regions", "segment").withColumns({
+        "mask_ok": images.mask_bytes(F.col("mask_png")).isNotNull(),
+        "folder": intake.mask_folder(F.col("name"), F.col("document_id")),
+        "attributes": F.create_map(F.lit("area"), F.col("area").cast("string"), F.lit("stabilityScore"), F.col("stabilityScore").cast("string"))})
+    return texts.unionByName(regions.segment_regions(segments, order, coarse))
+
+
 def latest_states(changes: DataFrame, key: str, version: str) -> DataFrame:
     """Newest row per key of a change stream; write it in update mode."""
     return updates.latest(changes, key, version)

@@ -3,6 +3,7 @@
 import base64
 import struct
 import zlib
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,8 +198,6 @@ def test_append_and_lookup(spark, tmp_path):
 
 
 def test_jpeg_on_both_intake_paths_and_strict_line_ends(spark):
-    import base64
-
     jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC0001108012C01900301220002110103110100") + b"x"
     plain = base64.b64encode(jpeg).decode()
     inline = intake.inline_assets(spark.createDataFrame(
@@ -209,3 +208,38 @@ def test_jpeg_on_both_intake_paths_and_strict_line_ends(spark):
         [("https://img.example.com/a.jpg", 200, None, "image/jpeg", bytearray(jpeg))],
         "image_url string, http_status int, error string, content_type_header string, content binary")).first()
     assert (fetched.refusal, fetched["size"].w, fetched["size"].h) == (None, 400, 300)
+
+
+def test_intake_batches_number_names_on_and_use_the_fetch_log(spark):
+    from maskloom.session import fresh_dir
+    from maskloom.sources.captures import CAPTURE
+    from maskloom.streaming import jobs
+
+    png = bytes.fromhex("89504E470D0A1A0A0000000D494844520000000A00000014") + b"rest"
+    data = "data:image/png;base64," + base64.b64encode(png).decode()
+
+    def capture(i, **values):
+        row = {f.name: None for f in CAPTURE}
+        row.update(request_id=i, requested_at=None if i == 9 else datetime(2024, 5, 6, 7),
+                   source_url="https://a.example.com/", capture_mode="direct_asset", **values)
+        return tuple(row[f.name] for f in CAPTURE)
+
+    text = [((1.0, 2.0, 3.0, 4.0), None, None, "sale")]
+    masks = [((1.0, 2.0, 3.0, 4.0), "???", 0.5, 1.0, None), ((1.0, 2.0, 3.0, 4.0), "AAAA", None, 1.0, None)]
+    batches = [[capture(1, image_data=data, text_regions=text, segment_regions=masks), capture(2, image_data="nonsense", text_regions=text)],
+               [capture(3, image_url="https://img.example.com/a.png"), capture(4, image_url="https://img.example.com/b.png"), capture(9)]]
+    log = spark.createDataFrame([("https://img.example.com/a.png", 200, None, "image/png", bytearray(png))],
+                                "image_url string, http_status int, error string, content_type_header string, content binary")
+    out = fresh_dir(spark, "intake-test")
+    for n, rows in enumerate(batches):
+        jobs.intake_batch(spark.createDataFrame(rows, CAPTURE), n, out, log)
+    docs = {r.request_id: (r.name, r.status, r.refusal, r.original_asset_id) for r in spark.read.parquet(f"{out}/documents").collect()}
+    assert docs == {
+        1: ("shot-20240506-001", "ready", None, "1-original"), 2: ("shot-20240506-002", "error", "invalid_data_url", None),
+        3: ("shot-20240506-003", "ready", None, "3-original"), 4: ("shot-20240506-004", "error", "not_fetched", None),
+        9: (None, "ready", None, None)}
+    assets = {r.asset_id: (r.storage_uri, r.width, r.height) for r in spark.read.parquet(f"{out}/assets").collect()}
+    assert assets == {"1-original": ("priv/static/uploads/shot-20240506-001/original.png", 10, 20),
+                      "3-original": ("priv/static/uploads/shot-20240506-003/original.png", 10, 20)}
+    found = sorted((r.region_id, r.type, r.z_index, r.mask_path) for r in spark.read.parquet(f"{out}/regions").collect())
+    assert found == [("1-segment-1", "object", 1002, "priv/static/uploads/shot-20240506-001/masks/segment_2.png"), ("1-text-0", "text", 1, None)]
