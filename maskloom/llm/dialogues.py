@@ -11,19 +11,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-#: Names that layouts use for the speakers.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Names that one layout has for the speakers.
+SHARED_ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
 class Layout:
     """A mapping: the field paths a record has, and how its turns are made.
 
-    ``turns`` lists (role, path) for layouts of single fields; ``each`` names (array, role field, text field).
+    ``turns`` lists (role, path) for layouts of single fields; ``each`` names (array, role field, text field), and
+    ``roles`` what its roles are called elsewhere.
     """
     name: str
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> list[str]:
         if self.each:
@@ -34,7 +36,7 @@ class Layout:
 
 LAYOUTS = [
     Layout("messages", each=("messages", "role", "content")),
-    Layout("conversations", each=("conversations", "from", "value")),
+    Layout("conversations", each=("conversations", "from", "value"), roles=SHARED_ROLES),
     Layout("prompt-completion", (("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt-response", (("user", "prompt"), ("assistant", "response"))),
     Layout("system-prompt-response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -74,16 +76,18 @@ def canonical_turns(records: DataFrame, record_id: str, layouts: list[Layout] =
     """``record_id``, ``layout`` and ``turns`` array of (role, text), one row per record.
 
     The fingerprint of a record selects its layout; a record of no known layout has null for both. Texts that
-    are null become empty, role names of other layouts become the common ones, other roles stay. Columns
+    are null become empty, a layout's own role names become the common ones, other roles stay. Columns
     that no layout names are ignored.
     """
     def turn(role: Column, text: Column) -> Column:
         return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
-    def common(role: Column) -> Column:
-        return reduce(lambda c, r: c.when(role == r[0], F.lit(r[1])), ROLES.items(), F.when(F.lit(False), role)).otherwise(role)
+    def each_turn(layout: Layout) -> Column:
+        array, role, text = layout.each
+
+        def common(own: Column) -> Column:
+            return reduce(lambda c, r: c.when(own == r[0], F.lit(r[1])), layout.roles, F.when(F.lit(False), own)).otherwise(own)
 
-    def each_turn(array: str, role: str, text: str) -> Column:
         return F.transform(array, lambda m: turn(common(m[role]), m[text]))
 
     marked = records.select("*", fingerprint(records, layouts).alias("_print"))
@@ -92,7 +96,7 @@ def canonical_turns(records: DataFrame, record_id: str, layouts: list[Layout] =
         if any(_has(records.schema, p) is None for p in layout.paths()):
             continue
         if layout.each:
-            made = each_turn(*layout.each)
+            made = each_turn(layout)
         else:
             made = F.array(*[turn(F.lit(role), F.col(path)) for role, path in layout.turns])
         match = F.col("_print") == F.xxhash64(F.lit("\n".join(layout.paths())))
