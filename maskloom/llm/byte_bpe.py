@@ -57,10 +57,10 @@ def build_tokenizer(tokens: list[bytes]):
 class PieceEncoder:
     """Cuts texts into pieces by a pattern and encodes each distinct piece once.
 
-    Ids of pieces are remembered across texts, up to ``MOST`` pieces or ``MOST_BYTES``; beyond that
+    Ids of pieces are remembered across the texts of a task, up to ``MOST`` pieces or ``MOST_BYTES``; beyond that
     memory begins anew, and only time is lost.
     """
-    MOST, MOST_BYTES = 400_000, 32 << 20
+    MOST, MOST_BYTES = 150_000, 8 << 20
 
     def __init__(self, ranks: bytes, pattern: str):
         import regex
@@ -125,6 +125,7 @@ def encode_texts(regions: DataFrame, ranks: bytes, pattern: str, offsets: bool =
                 spans = [_character_spans(encoder.widths[x], np.frombuffer(t.encode(), np.uint8)) for x, t in zip(ids, texts)]
                 columns += [_list_column([s[k] for s in spans], lengths) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.known, encoder.held = {}, 0  # an idle worker should not hold it
 
     id_field = regions.select(REGION_ID).schema[0]
     names = [REGION_ID, "token_ids"] + ["starts", "ends"] * offsets
