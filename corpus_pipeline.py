@@ -32,13 +32,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter(~quality_rules.base_failed() & quality_rules.verdict(rules)).select(f"{ROW}.*")
 
 
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    found = near_copies.near_copies(text_regions(docs))
+    found = near_copies.near_copies(text_regions(docs), percent)
     gone = stored(found.filter(~F.col("kept")).select(F.col(REGION_ID).alias("gone")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone"), "left_anti")
 
 
+def near_copy_stage_at_80(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The near copies of the pipeline: 0.85 is op2's own threshold, and here 0.8 of all shingles make a copy."""
+    return near_copy_stage(spark, docs, sf_dir, percent=80)
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document or place has; ``n_chars`` follows the text."""
     cut = repeats.cut_repeats(_boxed(docs, "text"))
@@ -68,7 +73,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near copies", near_copy_stage),
+    ("near copies", near_copy_stage_at_80),
     ("repeated passages", repeats_stage),
     ("mixing", mixing_stage),
     ("byte-level BPE", token_stage),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +14,51 @@ from maskloom.llm.linking import components
 from maskloom.llm.records import LOWER, REGION_ID, TEXT, mixed, slices, span_hashes, stored, word_spans
 
 SHINGLE = 5
-#: 25 bands of 5 minima: two sets that share 0.85 of their union agree in no band with probability 4e-7.
-BANDS, ROWS = 25, 5
-#: Of 125 minima, how many must be equal for a pair to be checked on its sets (five standard errors under what
-#: 0.85 gives), and for its two texts to count as one family.
-LEAST_EQUAL, FAMILY_EQUAL = 86, 50
+#: Probability with which a pair at the threshold may agree in no band, or have too few equal minima for its sets to be checked.
+MISS, MISS_EQUAL = 4.5e-7, 1e-6
+#: Minima of a band at most, of a text at most, and the share of equal ones with which two texts count as one family.
+ROWS, MOST, FAMILY_SHARE = 5, 256, 0.4
 #: Members and shingles of a family that are compared together.
 BLOCK, BLOCK_SHINGLES = 64, 1 << 18
 
 _rng = np.random.default_rng(20240229)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_FACTORS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Bands and minima a band of a threshold; equal minima from which a pair is checked on its sets, or is of one family."""
+    bands: int
+    rows: int
+    least: int
+    family: int
+
+    def functions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Factors and shifts of the universal hash functions."""
+        drawn = np.random.default_rng(20240301).integers(0, 1 << 63, (self.bands * self.rows, 2), dtype=np.uint64)
+        return drawn[:, 0] * np.uint64(2) + np.uint64(1), drawn[:, 1]
+
+
+def planned(percent: int) -> Plan:
+    """The longest bands with which pairs at ``percent`` keep to ``MISS`` and ``MISS_EQUAL`` with ``MOST`` minima.
+
+    85 gives 25 bands of 5, and 80 gives 37 of 5.
+    """
+    share = min(max(percent / 100, 1e-3), 1 - 1e-9)
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-share ** rows))
+        if bands * rows <= MOST:
+            break
+    n, below, least = bands * rows, 0.0, 0
+    while least < n:
+        below += math.comb(n, least) * share ** least * (1 - share) ** (n - least)
+        if below > MISS_EQUAL:
+            break
+        least += 1
+    return Plan(bands, rows, least, min(int(FAMILY_SHARE * n), least))
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The distinct 64-bit shingle hashes of each text, sorted.
 
@@ -51,38 +83,41 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of all universal hash functions, a row for each set; sets must not be empty."""
+def signatures(sets: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """Minima of all universal hash functions of ``plan``, a row for each set; sets must not be empty."""
+    factors, shifts = plan.functions()
     flat = np.concatenate(sets)
     begins = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), len(_FACTORS)), dtype=np.uint64)
-    for k in range(len(_FACTORS)):
-        out[:, k] = np.minimum.reduceat(flat * _FACTORS[k] + _SHIFTS[k], begins)
+    out = np.empty((len(sets), len(factors)), dtype=np.uint64)
+    for k in range(len(factors)):
+        out[:, k] = np.minimum.reduceat(flat * factors[k] + shifts[k], begins)
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for rows, data, bounds in slices(batches, TEXT):
-        sets = shingle_sets(data, bounds)
-        used = [i for i, s in enumerate(sets) if len(s)]
-        digests, bands, signs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-        if used:
-            minima = signatures([sets[i] for i in used])
-            keys = np.zeros((len(used), BANDS), dtype=np.uint64)
-            grouped = minima.reshape(len(used), BANDS, ROWS)
-            for k in range(ROWS):
-                keys += mixed(grouped[:, :, k] * _BAND_FACTORS[k])
-            keys = mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            low = (minima >> np.uint64(48)).astype(np.uint16)
-            for k, i in enumerate(used):
-                digests[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                bands[i], signs[i] = keys[k], low[k].tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-            names=[REGION_ID, "n_shingles", "digest", "bands", "minima"])
+def _signed(plan: Plan):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for rows, data, bounds in slices(batches, TEXT):
+            sets = shingle_sets(data, bounds)
+            used = [i for i, s in enumerate(sets) if len(s)]
+            digests, bands, signs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            if used:
+                minima = signatures([sets[i] for i in used], plan)
+                keys = np.zeros((len(used), plan.bands), dtype=np.uint64)
+                grouped = minima.reshape(len(used), plan.bands, plan.rows)
+                for k in range(plan.rows):
+                    keys += mixed(grouped[:, :, k] * _BAND_FACTORS[k])
+                keys = mixed(keys + np.arange(plan.bands, dtype=np.uint64)).view(np.int64)
+                low = (minima >> np.uint64(48)).astype(np.uint16)
+                for k, i in enumerate(used):
+                    digests[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                    bands[i], signs[i] = keys[k], low[k].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                names=[REGION_ID, "n_shingles", "digest", "bands", "minima"])
+    return signed
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +126,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [rows.column(0), pa.array([s.tobytes() for s in shingle_sets(data, bounds)], pa.binary())], names=[REGION_ID, "shingles"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-        equal = (a == b).sum(axis=1)
-        near = pa.array(equal >= FAMILY_EQUAL)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(near), batch.column(1).filter(near), pa.array(equal, pa.int64()).filter(near)], names=["a", "b", "equal"])
+def _compared(plan: Plan):
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+            equal = (a == b).sum(axis=1)
+            near = pa.array(equal >= plan.family)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(near), batch.column(1).filter(near), pa.array(equal, pa.int64()).filter(near)], names=["a", "b", "equal"])
+    return compared
 
 
 def _linked(percent: int):
@@ -164,9 +201,9 @@ def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
 
-def _near(pairs: DataFrame, minima: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, minima: DataFrame, plan: Plan) -> DataFrame:
     """The pairs ``(a, b)`` whose signatures say they may be of one family, with how many minima are equal."""
-    return stored(_with_both(pairs, minima, "minima").mapInArrow(_compared, "a long, b long, equal long"), "near")
+    return stored(_with_both(pairs, minima, "minima").mapInArrow(_compared(plan), "a long, b long, equal long"), "near")
 
 
 def _shingles(regions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,7 +214,7 @@ def _shingles(regions: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    pairs = near.filter(F.col("equal") >= LEAST_EQUAL)
+    pairs = near.filter(F.col("equal") >= planned(percent).least)
     return stored(_with_both(pairs, sets, "shingles").mapInArrow(_linked(percent), "a long, b long").distinct(), "linked")
 
 
@@ -204,7 +241,8 @@ def _family_links(families: DataFrame, links: DataFrame, sets: DataFrame, percen
 def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
     """``region_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``region_id``, ``original_text``.
 
-    Regions are linked if their shingle sets share at least ``percent`` of their union. ``component_id`` is the
+    Regions are linked if their shingle sets share at least ``percent`` of their union; bands and the least number
+    of equal minima follow from it. ``component_id`` is the
     smallest id reachable over links, ``kept`` marks the region that bears it.
 
     Equal sets form a class and its smallest id stands for it. Classes that agree in a band are candidates.
@@ -218,9 +256,10 @@ def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
     part: their component is null and they are kept. Rows that share an id are one node, which links as any
     of its texts does. Other columns are ignored; no rows give no rows.
     """
+    plan = planned(percent)
     regions = regions.select(F.col(REGION_ID).cast("bigint").alias(REGION_ID), TEXT)
     signed = stored(regions.mapInArrow(
-        _signed, f"{REGION_ID} long, n_shingles long, digest binary, bands array<long>, minima binary"), "signatures")
+        _signed(plan), f"{REGION_ID} long, n_shingles long, digest binary, bands array<long>, minima binary"), "signatures")
     named = signed.filter(F.col(REGION_ID).isNotNull() & F.col("digest").isNotNull())
     classes = stored(named.groupBy("digest").agg(F.min(REGION_ID).alias("leader")), "classes")
     leaders = named.select(REGION_ID, "digest", "bands", "minima").join(
@@ -230,7 +269,7 @@ def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
     placed = leaders.select(F.explode("bands").alias("bucket"), F.col(REGION_ID).alias("id"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = stored(placed.join(shared, "bucket").filter("id <> first"), "members")
-    near = _near(members.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), minima)
+    near = _near(members.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), minima, plan)
     sets = _shingles(regions, near)
     links = _confirmed(near, sets, percent)
     families = components(near)
@@ -242,8 +281,8 @@ def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
         F.col("family") != F.coalesce("own", "first")).select("bucket", F.col("id").alias("stray"), F.col("family").alias("other"))
     pairs = strays.join(grouped, "bucket").filter("family <> other").select(
         F.least("id", "stray").alias("a"), F.greatest("id", "stray").alias("b")).distinct()
-    late = _near(pairs, minima)
-    if not late.filter(F.col("equal") >= LEAST_EQUAL).isEmpty():
+    late = _near(pairs, minima, plan)
+    if not late.filter(F.col("equal") >= plan.least).isEmpty():
         links = links.union(_confirmed(late, _shingles(regions, late), percent))
 
     reached = classes.join(components(links).withColumnRenamed("node", "leader"), "leader", "left").select(

@@ -79,7 +79,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_minhash_near_copies")
 def op2_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.near_copies(_regions(spark, sf_dir)).withColumnRenamed(REGION_ID, "doc_id")
+    return near_copies.near_copies(_regions(spark, sf_dir), percent=85).withColumnRenamed(REGION_ID, "doc_id")
 
 
 @query("op6_near_vectors")

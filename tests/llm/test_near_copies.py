@@ -1,9 +1,11 @@
+import math
 import random
 import re
 from itertools import combinations
 
+from corpus_pipeline import STAGES
 from maskloom.llm.linking import components
-from maskloom.llm.near_copies import near_copies
+from maskloom.llm.near_copies import near_copies, planned
 from maskloom.llm.queries import op2_minhash_near_copies
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +72,29 @@ def test_query_against_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows(op2_minhash_near_copies(spark, sf).withColumnRenamed("doc_id", "region_id")) == brute(texts)
+
+
+def test_stage_at_eighty_against_all_pairs(spark):
+    rng = random.Random(8)
+    texts, n = {}, 0
+    for _ in range(150):  # pairs whose best link lies in [0.80, 0.85) mostly: one replaced stretch of a text of 200 words
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        own, width = list(base), rng.randrange(12, 20)
+        own[50:50 + width] = [f"x{rng.randrange(10 ** 6)}" for _ in range(width)]
+        texts[n], texts[n + 1] = " ".join(base), " ".join(own)
+        n += 2
+    sets = {i: shingles(t) for i, t in texts.items()}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, n, 2)}
+    assert sum(0.80 <= s < 0.85 for s in share.values()) > 50 and sum(s < 0.80 for s in share.values()) > 10
+    want = sorted(i for i in texts if i % 2 == 0 or share[i - 1] < 0.80)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(STAGES)["near copies"](spark, docs, "").collect()) == want
+
+
+def test_bands_and_least_equal_follow_the_threshold():
+    for percent in (50, 70, 80, 85, 95):
+        plan, share = planned(percent), percent / 100
+        n = plan.bands * plan.rows
+        assert (1 - share ** plan.rows) ** plan.bands < 5e-7
+        assert sum(math.comb(n, k) * share ** k * (1 - share) ** (n - k) for k in range(plan.least)) <= 1e-6
+        assert plan.family <= plan.least
