@@ -11,20 +11,37 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from maskloom.llm.records import REGION_ID, TEXT, slices, span_hashes, word_spans, _IS_BLANK
 
-#: The hash of the last 16 bytes decides on a cut: one word end in five, and elsewhere one byte in 512.
-WINDOW, WORD_SHARE, BYTE_SHARE = 16, 5, 512
+#: The hash of the last 16 bytes decides on a cut: the least of any nine word ends in a row, so one in five, and one byte in 512.
+WINDOW, WORD_ENDS, BYTE_SHARE = 16, 9, 512
 #: A run of repeated chunks with fewer words stays.
 MIN_WORDS = 20
 
 _GEAR = np.random.default_rng(16091990).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
+def _least_ends(h: np.ndarray, owner: np.ndarray, width: int = WORD_ENDS) -> np.ndarray:
+    """Which word ends have the least hash, ties included, of some ``width`` ends in a row of one text."""
+    n = len(h) - width + 1
+    if n < 1:
+        return np.zeros(len(h), bool)
+    least = h[:n].astype(np.int32)
+    for k in range(1, width):
+        np.minimum(least, h[k:k + n], out=least)
+    least[owner[:n] != owner[width - 1:]] = -1
+    most = np.full(len(h), -1, np.int32)
+    for k in range(width):
+        np.maximum(most[k:k + n], least, out=most[k:k + n])
+    return most == h
+
+
 def chunk_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the chunks of each text, and where each text's chunks begin among them.
 
     Bit j of the 16-bit gear hash ``h = 2 h + gear[byte]`` depends on the last j + 1 bytes, so a cut depends on
-    16 bytes only and chunks fall into step again right after an insertion. Cuts follow white space
-    mostly; the rarer cuts elsewhere bound chunks of texts without any. No cut parts a character.
+    16 bytes and its neighbours only and chunks fall into step again right after an insertion. Of any ``WORD_ENDS``
+    word ends in a row one at least is a cut, in periodic text too, where equal hashes are all cuts; the first and last such
+    cut inside a passage, and all between, are the same wherever it stands. The rarer cuts elsewhere bound chunks of
+    texts without white space. No cut parts a character.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
@@ -33,7 +50,12 @@ def chunk_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         h[reach:] += h[:-reach] << np.uint16(reach)
         reach *= 2
     cut = h < 65536 // BYTE_SHARE
-    cut |= _IS_BLANK[data] & (h < 65536 // WORD_SHARE)
+    blank = _IS_BLANK[data]
+    ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    owner = np.searchsorted(bounds, ends, side="right") - 1
+    full = ends - bounds[owner] >= WINDOW - 1
+    ends, owner = ends[full], owner[full]
+    cut[ends[_least_ends(h[ends], owner)]] = True
     cut[:-1] &= (data[1:] & 0xC0) != 0x80
     begins = bounds[:-1][bounds[:-1] < bounds[1:]]
     for k in range(WINDOW - 1):  # the first bytes of a text have no full window of their own

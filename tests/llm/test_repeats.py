@@ -68,3 +68,28 @@ def test_query_leaves_no_long_repeat(spark):
         left += bool(windows & seen)
         seen |= windows
     assert left <= 0.005 * len(rows)
+
+
+def test_periodic_texts_have_short_chunks_and_are_cut(spark):
+    rng, texts = random.Random(5), {}
+    for i in range(40):  # one word or one line of five words again and again, in two documents each
+        line = words(rng, 1 if i % 2 else 5)
+        for k, times in enumerate((120, 100)):
+            texts[2 * i + k] = words(rng, 30) + "\n" + (line + (" " if i % 4 < 2 else "\n")) * times + words(rng, 30)
+    data = np.frombuffer("".join(texts.values()).encode(), np.uint8)
+    starts, ends, _ = chunk_spans(data, np.concatenate([[0], np.cumsum([len(t) for t in texts.values()])]))
+    assert max(len(data[s:e].tobytes().split()) for s, e in zip(starts, ends)) <= 20
+    df = spark.createDataFrame(list(texts.items()), "region_id long, original_text string")
+    for r in cut_repeats(df).collect():
+        w = r.original_text.split()
+        assert len(w) < 60 + 40 if r.region_id % 2 == 0 else len(w) < 60 + 25
+
+
+def test_query_leaves_no_window_of_fifty_words(spark):
+    seen, left = set(), []
+    for r in sorted(op7_cut_repeats(spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.doc_id):
+        w = (r.text or "").split()
+        windows = {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
+        left += [r.doc_id] if windows & seen or len(windows) < len(w) - 49 else []
+        seen |= windows
+    assert left == []
