@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.llm.records import REGION_ID, TEXT, stored
 
 #: Hashed word bins of the classifier, and about how many labelled texts its bin counts are taken from.
 BINS, SAMPLE = 2048, 20_000
-#: Gradient steps between two rewrites of the rates, and the part by which the default budget exceeds the least one.
-REWRITE, SLACK = 8, 0.01
+#: The part by which the default budget exceeds the least one, and the factors on it that are tried if targets cannot be met.
+SLACK, RAISES = 0.01, (1.0, 1.05, 1.15, 1.35, 1.75, 2.5, 4.0, 8.0)
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -81,67 +83,105 @@ def memberships(regions: DataFrame, model: DomainModel, keep: list[str] | None =
 
 @dataclass(frozen=True)
 class Rates:
-    """The steps of a fit: each takes ``posterior . step`` off a rate that starts at 1, and stops at 0."""
-    steps: list[list[float]]
+    """A rate is 1 plus ``posterior . pull``, but ``least`` at least. ``missed`` is the largest miss as a part of the budget."""
+    pull: list[float]
     totals: list[float]
     targets: list[float]
+    least: float = 0.0
+    missed: float = 0.0
 
     def column(self) -> Column:
-        if not self.steps:
-            return F.lit(1.0)
-        steps = F.transform(F.split(F.lit(";".join(",".join(map(repr, s)) for s in self.steps)), ";"),
-                            lambda s: F.split(s, ",").cast("array<double>"))
-        return F.aggregate(steps, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - F.aggregate(
-            F.zip_with("posterior", step, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)))
+        return _rate(self.pull, self.least) if self.pull else F.lit(1.0)
 
 
-def _moved(rate: Column, steps: list[list[float]]) -> Column:
-    for step in steps:
-        pull = reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k)) * F.lit(s) for k, s in enumerate(step)])
-        rate = F.greatest(F.lit(0.0), rate - pull)
-    return rate
+def _rate(pull: list[float], least: float) -> Column:
+    return F.greatest(F.lit(least), F.lit(1.0) + reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k)) * F.lit(float(v)) for k, v in enumerate(pull)]))
 
 
-def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float], budget: float | None = None,
-              steps: int = 40, tolerance: float = 1e-4) -> Rates:
-    """Nonnegative rates whose expected token totals come nearest to ``weights`` of ``budget`` tokens.
+def _solved(members: DataFrame, targets: np.ndarray, present: np.ndarray, used: np.ndarray, least: float, start: np.ndarray,
+            steps: int, goal: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pull of the rates nearest to 1 that meet ``targets``, and their totals, by damped Newton steps on the dual.
+
+    Where targets cannot be met, a small ridge on the pull makes the steps end near the least misses.
+    """
+    k = len(targets)
+    p = [F.get("posterior", F.lit(i)) for i in range(k)]
+    ridge = np.where(used, 1e-7 * present, 1.0)
+
+    def at(pull: np.ndarray) -> tuple:
+        free = F.lit(1.0) + reduce(lambda a, b: a + b, [q * F.lit(float(v)) for q, v in zip(p, pull)])
+        rated = members.select("n_tokens", "posterior", free.alias("_free"))
+        rate, open_ = F.greatest(F.lit(least), F.col("_free")), F.when(F.col("_free") >= least, F.col("n_tokens")).otherwise(0)
+        row = rated.agg(
+            F.sum(F.col("n_tokens") * (rate * F.col("_free") - rate * rate / 2)).alias("v"), *[F.sum(F.col("n_tokens") * q * rate) for q in p],
+            *[F.sum(open_ * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
+        second = np.zeros((k, k))
+        second[np.triu_indices(k)] = row[1 + k:]
+        second += np.triu(second, 1).T
+        totals = np.array(row[1:1 + k], float)
+        slope = np.where(used, totals - targets + ridge * pull, 0.0)
+        return row[0] - float(targets @ pull) + float(ridge @ pull ** 2) / 2, slope, second, totals
+
+    pull = start
+    value, slope, second, totals = at(pull)
+    for _ in range(steps):
+        if np.abs(totals - targets)[used].max() <= goal or np.abs(slope).max() <= goal / 4:
+            break
+        held = second * np.outer(used, used) + np.diag(ridge)
+        move, part = -np.linalg.solve(held, slope), 1.0
+        while True:
+            found = at(pull + part * move)
+            if found[0] <= value + 1e-4 * part * float(slope @ move) or part < 1e-6:
+                break
+            part /= 4
+        pull = pull + part * move
+        value, slope, second, totals = found
+    return pull, totals
 
-    With ``t`` the tokens and ``p`` the posterior of a text, the total of domain k is ``sum r t p_k``. Projected
-    gradient steps on the squared misses, each in units of the domain's present total, move all rates at once:
-    ``r <- max(0, r - step * sum_k p_k miss_k)``. All texts count; a step is one aggregation over ``members`` that
-    returns one number per domain. Steps end when every miss is under ``tolerance`` of the budget.
 
-    ``budget`` is by default the least at which no present domain has to shrink, so that a mix adds repeats and
-    loses nothing; a smaller one thins out. A domain without weight has target 0; domains that no text belongs to
-    are left out. Without tokens all rates stay 1.
+def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float], budget: float | None = None,
+              steps: int = 40, tolerance: float = 1e-4) -> Rates:
+    """Rates, as near to 1 as can be, whose expected token totals are ``weights`` of ``budget`` tokens.
+
+    With ``t`` the tokens and ``p`` the posterior of a text, the total of domain k is ``sum r t p_k``. The least
+    ``sum t (r - 1)^2`` under these targets has rates ``max(least, 1 + p . pull)``; the pull is found by Newton steps.
+    All texts count; a step is one aggregation over ``members`` that returns a few numbers per two domains. Steps
+    end when every miss is under ``tolerance`` of the budget; if that is not reached, ``missed`` says by how much and there
+    is a warning.
+
+    Without ``budget`` no text is lost: rates are 1 at least, domains that ``weights`` does not name keep their share, and
+    the budget is the least at which no present domain has to shrink, raised by ``RAISES`` until the targets are met; if
+    none meets them, the first is kept. A given budget, or a present domain with weight 0, allows rates down to 0, and with
+    a budget a domain without weight has target 0. Domains that no text belongs to are left out. Without tokens all
+    rates stay 1.
     """
     k = len(model.domains)
-    posterior = [F.get("posterior", F.lit(i)) for i in range(k)]
-    first = members.agg(
-        *[F.sum(F.col("n_tokens") * p).alias(f"s{i}") for i, p in enumerate(posterior)],
-        *[F.sum(F.col("n_tokens") * p * q).alias(f"m{i}_{j}") for i, p in enumerate(posterior) for j, q in enumerate(posterior)]).first()
-    present = [first[f"s{i}"] or 0.0 for i in range(k)]
-    whole = sum(present)
-    share = sum(max(weights.get(d, 0.0), 0.0) for d in model.domains)
-    if not whole or not share:
-        return Rates([], present, present)
+    first = members.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+    present = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
+    whole = float(present.sum())
+    asked = np.array([max(weights.get(d, 0.0), 0.0) for d in model.domains])
+    if not whole or not asked.sum():
+        return Rates([], present.tolist(), present.tolist())
+    used = present > 1e-9 * whole
     if budget is None:
-        budget = (1 + SLACK) * max([s * share / weights[d] for s, d in zip(present, model.domains) if weights.get(d, 0.0) > 0])
-    targets = [max(weights.get(d, 0.0), 0.0) / share * budget for d in model.domains]
-    scale = [s if s > 1e-9 * whole else math.inf for s in present]
-    # The largest eigenvalue of the scaled second moments is at most their largest row sum: a step of its inverse is safe.
-    pull = 1.0 / max(sum(first[f"m{i}_{j}"] / math.sqrt(scale[i] * scale[j]) for j in range(k)) for i in range(k) if scale[i] < math.inf)
-    taken: list[list[float]] = []
-    totals, state, fresh = present, members.withColumn("_rate", F.lit(1.0)), 0
-    for _ in range(steps):
-        if max(abs(s - t) for s, t in zip(totals, targets)) <= tolerance * budget:
-            break
-        if len(taken) - fresh == REWRITE:  # keep the plan short
-            state, fresh = stored(state.select("n_tokens", "posterior", _moved(F.col("_rate"), taken[fresh:]).alias("_rate")), "rates"), len(taken)
-        taken.append([pull * (s - t) / c for s, t, c in zip(totals, targets, scale)])
-        moved = state.select("n_tokens", "posterior", _moved(F.col("_rate"), taken[fresh:]).alias("_rate"))
-        totals = list(moved.agg(*[F.sum(F.col("n_tokens") * p * F.col("_rate")).alias(f"s{i}") for i, p in enumerate(posterior)]).first())
-    return Rates(taken, totals, targets)
+        named = np.array([d in weights for d in model.domains])
+        rest = np.where(named, 0.0, present / whole)
+        shares = rest + asked / asked.sum() * (1 - rest.sum())
+        least = 0.0 if (used & (shares <= 0)).any() else 1.0
+        lowest = (1 + SLACK) * float((present[shares > 0] / shares[shares > 0]).max())
+        budgets = [lowest * r for r in RAISES] if least else [lowest]
+    else:
+        shares, least, budgets = asked / asked.sum(), 0.0, [float(budget)]
+    tried = []
+    for whole_budget in budgets:
+        targets = shares * whole_budget
+        pull, totals = _solved(members, targets, present, used, least, np.zeros(k), steps, tolerance * whole_budget)
+        missed = float(np.abs(totals - targets)[used].max()) / whole_budget
+        tried.append(Rates(pull.tolist(), totals.tolist(), targets.tolist(), least, missed))
+        if missed <= tolerance:
+            return tried[-1]
+    warnings.warn(f"rates miss their targets by up to {tried[0].missed:.2%} of the budget", stacklevel=2)
+    return tried[0]
 
 
 def copies(rate: Column, region_id: Column) -> Column:

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from maskloom.llm import mixing
 from maskloom.llm.queries import MIX, op8_soft_mixing
@@ -52,3 +54,30 @@ def test_query_meets_the_mix(spark):
     both = both[both.n_tokens >= 20]
     best = both[[f"p_{d}" for d in sorted(MIX)]].to_numpy().argmax(axis=1)
     assert (np.array(sorted(MIX))[best] == both.lang).mean() > 0.95
+
+
+def test_default_budget_meets_skewed_targets_and_loses_nothing(spark):
+    rng = np.random.default_rng(6)
+    names, n = ["a", "b", "c", "d"], 4000
+    for prior, crisp in (([0.62, 0.145, 0.13, 0.105], 0.05), ([0.8, 0.1, 0.06, 0.04], 0.4)):
+        own = rng.choice(4, n, p=prior)
+        p = np.array([rng.dirichlet(np.where(np.arange(4) == k, 3.0, crisp)) for k in own])
+        p[:400] = rng.dirichlet([1.0] * 4, 400)  # texts that belong to several
+        t = np.where(rng.random(n) < 0.3, rng.integers(1, 5, n), rng.integers(5, 2000, n))
+        df = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(n)], "region_id long, n_tokens long, posterior array<double>")
+        model = mixing.DomainModel(names, [], [])
+        for weights in ({"a": 0.50, "b": 0.18, "c": 0.18, "d": 0.14}, {"a": 0.5, "b": 0.2}):
+            rates = mixing.fit_rates(df, model, weights)
+            got = df.select("region_id", rates.column().alias("r"), mixing.copies(rates.column(), F.col("region_id")).alias("c")).toPandas().sort_values("region_id")
+            totals, present = (got.r.to_numpy() * t) @ p, t @ p
+            rest = sum(present[k] for k, d in enumerate(names) if d not in weights) / present.sum()
+            want = [weights[d] / sum(weights.values()) * (1 - rest) if d in weights else present[k] / present.sum() for k, d in enumerate(names)]
+            assert (got.r >= 1).all() and (got.c >= 1).all()
+            assert np.abs(totals / totals.sum() - want).max() < 5e-4 and rates.missed <= 1e-4
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(i, 10, [0.6, 0.4]) for i in range(20)], "region_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        rates = mixing.fit_rates(df, mixing.DomainModel(["a", "b"], [], []), {"a": 0.1, "b": 0.9})
+    assert rates.missed > 0.1 and df.select(rates.column().alias("r")).agg({"r": "min"}).first()[0] >= 1
