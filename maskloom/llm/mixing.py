@@ -40,7 +40,8 @@ def fit_domains(labelled: DataFrame, regions: DataFrame, sample: int = SAMPLE) -
     """Naive Bayes over hashed words, from ``labelled(region_id, domain)`` and the texts of ``regions``.
 
     Priors are the shares of the domains in all labelled rows; a null domain is no label. Bin counts come from about
-    ``sample`` labelled texts, chosen by the hash of their id, with one added to every bin. Without labels
+    ``sample`` labelled texts, as many of each domain, or all that it has, chosen by the hash of their id, with one added to
+    every bin. Without labels
     there is one domain, ``all``.
     """
     labelled = labelled.select(REGION_ID, F.col("domain").cast("string").alias("domain")).filter("domain IS NOT NULL")
@@ -48,7 +49,8 @@ def fit_domains(labelled: DataFrame, regions: DataFrame, sample: int = SAMPLE) -
     if not shares:
         return DomainModel(["all"], [0.0], [[0.0] * BINS])
     domains, total = sorted(shares), sum(shares.values())
-    drawn = labelled.filter(F.pmod(F.xxhash64(REGION_ID, F.lit(3)), F.lit(1 << 30)) < (1 << 30) * sample / total).limit(2 * sample)
+    part = F.create_map(*[F.lit(v) for d in domains for v in (d, (1 << 30) * sample / len(domains) / shares[d])])[F.col("domain")]
+    drawn = labelled.filter(F.pmod(F.xxhash64(REGION_ID, F.lit(3)), F.lit(1 << 30)) < part).limit(2 * sample)
     counts = (regions.select(REGION_ID, _words().alias("words")).join(F.broadcast(drawn), REGION_ID)
               .select("domain", F.explode("words").alias("word")).select("domain", _bin(F.col("word")).alias("bin"))
               .groupBy("domain", "bin").agg(F.count("*").alias("n")).collect())

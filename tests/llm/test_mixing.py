@@ -81,3 +81,11 @@ def test_targets_out_of_reach_are_reported(spark):
     with pytest.warns(UserWarning, match="miss their targets"):
         rates = mixing.fit_rates(df, mixing.DomainModel(["a", "b"], [], []), {"a": 0.1, "b": 0.9})
     assert rates.missed > 0.1 and df.select(rates.column().alias("r")).agg({"r": "min"}).first()[0] >= 1
+
+
+def test_a_rare_domain_is_sampled_too(spark):
+    rows = [(i, "sun sea sky " * 5) for i in range(3000)] + [(i, "law tax fee " * 5) for i in range(3000, 3010)]
+    df = spark.createDataFrame(rows, "region_id long, original_text string")
+    model = mixing.fit_domains(df.select("region_id", F.when(F.col("region_id") < 3000, "air").otherwise("money").alias("domain")), df, sample=40)
+    got = {r.region_id: r.posterior for r in mixing.memberships(df, model).collect()}
+    assert all(got[i][1] > 0.5 for i in range(3000, 3010)) and all(got[i][0] > 0.5 for i in range(3000))
