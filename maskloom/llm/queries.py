@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.llm import (
-    byte_bpe, dialogues, language_model, licences, mixing, near_copies, near_vectors, quality_classifier, quality_rules, repeats,
+    byte_bpe, dialogues, language_model, licences, mixing, near_copies, near_vectors, periodic_runs,
+    quality_classifier, quality_rules, repeats,
 )
-from maskloom.llm.records import REGION_ID, stored, text_regions
+from maskloom.llm.records import REGION_ID, TEXT, stored, text_regions
 from maskloom.plans.registry import query
 from maskloom.sources.adapters import table
 
@@ -140,3 +141,28 @@ def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(regions, model).select(
         F.col(REGION_ID).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(hashed / 10)
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (3 + g % 8))
+    turns = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), turns)), F.lit(1), (n - a).cast("int"))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    text = F.when((hashed % 10 == 0) & (n > 0), planted).otherwise(F.col("text"))
+    regions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(REGION_ID), text.alias(TEXT))
+    found = periodic_runs.periodic_runs(regions)
+    kind = found.schema["runs"].dataType.elementType.simpleString()
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col(REGION_ID).alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
