@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.llm import (
-    byte_bpe, dialogues, language_model, licences, mixing, near_copies, near_vectors, periodic_runs,
+    alignment, byte_bpe, dialogues, language_model, licences, metric_search, mixing, near_copies, near_vectors, periodic_runs,
     quality_classifier, quality_rules, repeats,
 )
 from maskloom.llm.records import REGION_ID, TEXT, stored, text_regions
@@ -166,3 +166,30 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_metric_search", """
+    WITH sound AS (
+        SELECT vec_id, list_transform(embedding, e -> floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, e -> e IS NULL OR NOT isfinite(e)))),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+        FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5""")
+def op12_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("embedding").cast("array<double>")
+    sound = ~F.exists(number, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    images = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias(metric_search.ID), F.when(sound, F.transform(number, lambda e: F.floor(256 * e))).alias(metric_search.VECTOR))
+    found = metric_search.top_products(images, images.filter(F.col(metric_search.ID) % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col(metric_search.ID).alias("vec_id"), "score")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (alignment.read_model(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    regions = _regions(spark, sf_dir)
+    counts = stored(alignment.link_counts(regions, a, b), "links")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.aligned_texts(regions, counts, a, b, {"groups_sha256": digest}).withColumnRenamed(REGION_ID, "doc_id")
