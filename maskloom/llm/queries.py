@@ -170,10 +170,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_metric_search", """
     WITH sound AS (
-        SELECT vec_id, list_transform(embedding, e -> floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
-        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, e -> e IS NULL OR NOT isfinite(e)))),
+        SELECT vec_id, [floor(256 * e::DOUBLE)::BIGINT for e in embedding] AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or([e IS NULL OR NOT isfinite(e) for e in embedding]), false)),
     scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+        SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]), 0)::BIGINT AS score
         FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
     FROM scored QUALIFY rank <= 5""")
@@ -189,7 +189,9 @@ def op12_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (alignment.read_model(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    regions = _regions(spark, sf_dir)
-    counts = stored(alignment.link_counts(regions, a, b), "links")
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return alignment.aligned_texts(regions, counts, a, b, {"groups_sha256": digest}).withColumnRenamed(REGION_ID, "doc_id")
+    aligned = alignment.aligned_texts(_regions(spark, sf_dir), a, b)
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    counts = stored(alignment.link_counts(aligned), "counts")
+    return alignment.with_counts(aligned, counts).select(
+        F.col(REGION_ID).alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

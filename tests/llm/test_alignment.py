@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from maskloom.llm.alignment import Aligner, aligned_texts, link_counts, overlaps, read_model, successors, terminals
+from maskloom.llm.alignment import Aligner, aligned_texts, link_counts, overlaps, read_model, successors, terminals, with_counts
 from maskloom.llm.queries import op13_token_alignment
 
 A, B = (read_model(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -56,15 +56,16 @@ def test_regions_odd_texts_and_rare_pairs(spark):
     rows = [(i, t, "y", 3) for i, t in texts.items()] + [("8-text-0", texts["8-text-0"], "z", 4), (None, "SALE", "z", 4)]
     df = spark.createDataFrame(rows, "region_id string, original_text string, groups string, n_links int")
     want = plain(texts | {"again": texts["8-text-0"], "none": "SALE"})
-    counts = link_counts(df, A, B)
+    aligned = aligned_texts(df, A, B).cache()
+    counts = link_counts(aligned).cache()
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-    for held in (0, 40, None):  # all pairs joined, some, none
-        got = aligned_texts(df, counts, A, B, held=held).collect()
+    for held in (0, 40, 1 << 20):  # all pairs joined, some, none
+        got = with_counts(aligned, counts, held).collect()
         assert len(got) == len(rows)
         for r in got:
             assert tuple(r[n] for n in names) == want["none" if r.region_id is None else r.region_id], r.region_id
-    empty = df.limit(0)
-    assert aligned_texts(empty, link_counts(empty, A, B), A, B).count() == 0
+    empty = aligned_texts(df.limit(0), A, B)
+    assert with_counts(empty, link_counts(empty)).count() == 0
 
 
 def test_query_against_plain_version(spark):
@@ -77,5 +78,14 @@ def test_query_against_plain_version(spark):
         r, digest = got[k], hashlib.sha256(v[6].encode()).hexdigest() if v[6] else ""
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) == (*v[:4], digest)
     # Counts over all texts: by the counting definition, from what each text returns.
-    assert sum(r.n_links for r in got.values()) == sum(r.links for r in link_counts(
-        spark.createDataFrame(list(texts.items()), "region_id long, original_text string"), A, B).collect())
+    aligned = aligned_texts(spark.createDataFrame(list(texts.items()), "region_id long, original_text string"), A, B).collect()
+    counts = Counter()
+    for r in aligned:
+        counts.update({(x.a, x.b): x.times for x in r.links})
+    most = {}
+    for (i, j), n in counts.items():
+        most[j] = max(most.get(j, 0), n)
+    for r in aligned:
+        assert got[r.region_id].n_links == sum(x.times for x in r.links)
+        assert got[r.region_id].count_sum == sum(x.times * counts[x.a, x.b] for x in r.links)
+        assert got[r.region_id].n_best == sum(x.times for x in r.links if counts[x.a, x.b] == most[x.b])
