@@ -1,7 +1,6 @@
-"""Measures on rasters held as one array per row, row-major ``y * w + x``.
+"""Constants and column expressions for rasters held in one record, row-major ``y * w + x``.
 
-A raster arrives whole in one record (the decoder's grid is 256 x 256 at most), so these
-expressions need no shuffle. Pass plain columns: an expression would be evaluated per element.
+What goes over all values of a raster is in :mod:`maskloom.operators.raster_kernels`.
 """
 
 from __future__ import annotations
@@ -31,37 +30,6 @@ CHANNEL_STD = [0.229, 0.224, 0.225]
 LUMINANCE = [0.299, 0.587, 0.114]
 
 
-def count_above(v: Column, limit: float) -> Column:
-    return F.size(F.filter(v, lambda p: p.cast("double") > F.lit(float(limit))))
-
-
-def stability(v: Column, offset: float = STABILITY_OFFSET) -> Column:
-    """Share of the loose mask (above ``-offset``) that stays in the strict one (above ``offset``)."""
-    strict, loose = count_above(v, offset), count_above(v, -offset)
-    return F.when(loose > 0, strict / loose).otherwise(F.lit(0.0))
-
-
-def coverage(v: Column) -> Column:
-    return count_above(v, 0.0) / F.size(v)
-
-
-def sign_flips(v: Column, w: Column) -> Column:
-    """Neighbouring pixels, along rows and along columns, on different sides of zero."""
-    last = F.size(v) - 1
-
-    def differ(i, j):
-        return (F.get(v, i) > 0) != (F.get(v, j) > 0)
-
-    along = F.filter(F.sequence(F.lit(0), last), lambda i: (i % w != 0) & differ(i, i - 1))
-    down = F.filter(F.sequence(F.lit(0), last), lambda i: (i >= w) & differ(i, i - w))
-    return F.size(along) + F.size(down)
-
-
-def compactness(flips: Column, positives: Column) -> Column:
-    share = flips / (positives * 4)
-    return F.when(positives > 0, 1 - F.least(F.lit(1.0), share)).otherwise(F.lit(0.0))
-
-
 def quality(iou: Column, stable: Column, compact: Column, covered: Column) -> Column:
     whole = F.when(covered > MIN_COVERAGE, 1.0).otherwise(SPARSE_FACTOR)
     return iou * (1 + stable * STABILITY_WEIGHT + compact * COMPACTNESS_WEIGHT) * whole
@@ -74,38 +42,10 @@ def kernel(sigma: float) -> list[float]:
     return [float(k) for k in (raw / raw.astype(float).sum()).astype(np.float32)]
 
 
-def blur_rows(v: Column, w: Column, sigma: float = BLUR_SIGMA) -> Column:
-    """Gaussian blur along x; beyond the edge the edge value repeats. Stored in single precision."""
-    weights = kernel(sigma)
-    r = len(weights) // 2
-
-    def at(i):
-        row = i - i % w
-        total = None
-        for k, weight in enumerate(weights):
-            x = F.least(F.greatest(i % w + (k - r), F.lit(0)), w - 1)
-            term = F.get(v, row + x).cast("double") * F.lit(weight)
-            total = term if total is None else total + term
-        return total.cast("float")
-
-    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), at)
-
-
-def blur_columns(v: Column, w: Column, h: Column, sigma: float = BLUR_SIGMA) -> Column:
-    """As :func:`blur_rows`, along y."""
-    weights = kernel(sigma)
-    r = len(weights) // 2
-
-    def at(i):
-        x, y = i % w, F.floor(i / w).cast("int")
-        total = None
-        for k, weight in enumerate(weights):
-            yy = F.least(F.greatest(y + (k - r), F.lit(0)), h - 1)
-            term = F.get(v, yy * w + x).cast("double") * F.lit(weight)
-            total = term if total is None else total + term
-        return total.cast("float")
-
-    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), at)
+def bit_at(bits: Column, i: Column) -> Column:
+    """Is pixel ``i`` of packed bits set? Reads one byte."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(i / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (F.lit(7) - i % 8).cast("int")) == 1
 
 
 def normalized_channel(value: Column, channel: int) -> Column:

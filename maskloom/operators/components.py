@@ -13,15 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from maskloom.functions.boxes import round_half_up
-from maskloom.operators.masks import PIXEL, inverted
+from maskloom.operators import runs as row_runs
+from maskloom.operators.connectivity import MIN_COMPONENT_AREA, ROW, contracted, united
 from maskloom.session import cut_lineage
 
-ROW = 1 << 32
 TILE = 128
 
-# Fixed value: components below this area are specks.
-MIN_COMPONENT_AREA = 50
-
 
 def _labels(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
     """Label many whole tiles at once; rows are sorted by mask, tile, y, x."""
@@ -32,17 +29,7 @@ def _labels(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
     found = np.flatnonzero(np.append(key, -1)[below] == key + 2 * tile)
     beside = np.flatnonzero(np.diff(key) == 1)
     a, b = np.concatenate([beside, found]), np.concatenate([beside + 1, below[found]])
-    root = np.arange(len(key))
-    while True:
-        low = np.minimum(root[a], root[b])
-        nxt = root.copy()
-        np.minimum.at(nxt, root[a], low)
-        np.minimum.at(nxt, root[b], low)
-        nxt = nxt[nxt]
-        if np.array_equal(nxt, root):
-            break
-        root = nxt
-    return pdf.drop(columns=["tile_x", "tile_y"]).assign(label=(y * ROW + x)[root])
+    return pdf.drop(columns=["tile_x", "tile_y"]).assign(label=(y * ROW + x)[united(len(key), a, b)])
 
 
 def _starts(pdf: pd.DataFrame) -> np.ndarray:
@@ -82,7 +69,7 @@ def labelled(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     wide = (F.col("w") > tile) | (F.col("h") > tile)
     if local.filter(wide).isEmpty():
         return local
-    roots = _contracted(_border_pairs(local.filter(wide), tile))
+    roots = contracted(_border_pairs(local.filter(wide), tile))
     return cut_lineage(
         local.join(roots, ["mask_id", "label"], "left")
         .withColumn("label", F.coalesce("root", "label")).select(*pixels.columns, "label")
@@ -100,28 +87,6 @@ def _border_pairs(local: DataFrame, tile: int) -> DataFrame:
     return pairs("x", "y").unionByName(pairs("y", "x")).filter("u <> v").distinct()
 
 
-def _contracted(pairs: DataFrame) -> DataFrame:
-    """Root per label, ``(mask_id, label, root)``, by alternating large-star and small-star steps.
-
-    Every step is a grouped minimum joined back, so a component spanning very many tiles is not
-    collected; the number of rounds grows with the logarithm of its size.
-    """
-    edges, mark = cut_lineage(pairs), None
-    while True:
-        both = edges.unionByName(edges.select("mask_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("mask_id", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, ["mask_id", "u"]).filter("v > u").select(
-            "mask_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("mask_id", "u").agg(F.min("v").alias("m"))
-        moved = large.join(least, ["mask_id", "u"]).filter("v <> m").select(
-            "mask_id", F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(moved.unionByName(least.select("mask_id", "u", F.col("m").alias("v"))).distinct())
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("mask_id", "u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            return edges.select("mask_id", F.col("u").alias("label"), F.col("v").alias("root"))
-        mark = tuple(row)
-
-
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("mask_id", "w", "h", "label").agg(F.count("*").alias("area"))
 
@@ -145,12 +110,9 @@ def without_small(pixels: DataFrame, min_area: Column | int = MIN_COMPONENT_AREA
     return _keep(labels, component_sizes(labels).filter(F.col("area") >= limit), pixels.columns)
 
 
-def filled_holes(masks: DataFrame, pixels: DataFrame, min_area: Column | int, tile: int = TILE) -> DataFrame:
-    """Set the background components with fewer than ``min_area`` pixels."""
-    limit = F.lit(min_area) if isinstance(min_area, int) else min_area
-    around = labelled(inverted(masks, pixels), tile)
-    holes = _keep(around, component_sizes(around).filter(F.col("area") < limit), PIXEL)
-    return pixels.select(*PIXEL).unionByName(holes)
+def filled_holes(masks: DataFrame, pixels: DataFrame, min_area: Column | int, band: int = row_runs.BAND) -> DataFrame:
+    """Set the background components with fewer than ``min_area`` pixels; the background is handled as row runs."""
+    return row_runs.pixels_of_runs(row_runs.filled_holes(masks, row_runs.runs_of_pixels(pixels), min_area, band))
 
 
 def touching_points(

@@ -116,13 +116,19 @@ def taken_numbers(documents: DataFrame, prefix: str = texts.NAME_PREFIX) -> Data
     )
 
 
-def assign_names(new: DataFrame, existing: DataFrame, day: str, order: list[str], coarse: list[Column],
+def assign_names(new: DataFrame, existing: DataFrame, day: str, order: list[str], coarse: list[Column] | None = None,
                  prefix: str = texts.NAME_PREFIX) -> DataFrame:
-    """Name a batch of documents: per day the numbers after the highest taken one."""
+    """Name a batch of documents: per day the numbers after the highest one among the names of ``existing``."""
+    return assign_names_after(new, taken_numbers(existing, prefix), day, order, coarse, prefix)
+
+
+def assign_names_after(new: DataFrame, taken: DataFrame, day: str, order: list[str], coarse: list[Column] | None = None,
+                       prefix: str = texts.NAME_PREFIX) -> DataFrame:
+    """Name a batch of documents: per day the numbers after ``taken(day_key, taken)``."""
     keyed = new.withColumn("day_key", F.date_format(day, "yyyyMMdd"))
     placed = ordering.ordinal(keyed, ["day_key"], [F.col(c) for c in order], coarse, "nth")
     return (
-        placed.join(taken_numbers(existing, prefix), "day_key", "left")
+        placed.join(taken, "day_key", "left")
         .withColumn("number", F.coalesce("taken", F.lit(0)) + F.col("nth"))
         .withColumn("name", texts.document_name(F.col(day), F.col("number"), prefix))
         .drop("day_key", "nth", "taken", "number")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.functions import boxes as B, rasters as R
+from maskloom.operators import raster_kernels
 
 # An automatic segment must reach these to be kept.
 MIN_SEGMENT_SCORE = 0.85
@@ -63,30 +64,23 @@ def mask_boxes(masks: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def raster_scores(rasters: DataFrame, offset: float = R.STABILITY_OFFSET) -> DataFrame:
-    """Stability, flips, compactness and coverage of array rasters; no shuffle."""
-    v, w = F.col("v"), F.col("w")
-    measured = rasters.select(
-        *[c for c in rasters.columns if c != "v"], R.stability(v, offset).alias("stability"),
-        R.sign_flips(v, w).alias("flips"), R.count_above(v, 0.0).alias("positives"),
-        R.coverage(v).alias("coverage"),
-    )
-    return measured.withColumn("compactness", R.compactness(F.col("flips"), F.col("positives")))
+    """Stability, flips, positives, coverage and compactness of array rasters; no shuffle."""
+    return raster_kernels.raster_scores(rasters, offset)
 
 
 def covers_points(candidates: DataFrame, points: DataFrame, side: int = B.SEGMENTER_SIDE) -> DataFrame:
     """Does a candidate raster ``(prompt_id, index, w, h, v)`` cover all positive points of its prompt?
 
-    ``points(prompt_id, x, y, label)`` are in model space; label 1 is positive. The points are the
-    small side: they are looked up in the array, the raster is not exploded. Only candidates with
-    positive points are listed, the others cover trivially.
+    ``points(prompt_id, x, y, label)`` are in model space; label 1 is positive. Candidates meet the points as packed bits, and a
+    point reads one byte of them. Only candidates with positive points are listed, the others cover trivially.
     """
     def cell(p, size):
         return F.greatest(F.lit(0), F.least(F.col(size) - 1, B.round_half_up(F.col(p) / side * F.col(size)))).cast("int")
 
     p = points.filter("label = 1").select("prompt_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    hit = F.get("v", cell("py", "h") * F.col("w") + cell("px", "w")) > 0
+    hit = R.bit_at(F.col("bits"), cell("py", "h") * F.col("w") + cell("px", "w"))
     return (
-        candidates.select("prompt_id", "index", "w", "h", "v").join(p, "prompt_id")
+        raster_kernels.packed(candidates.select("prompt_id", "index", "w", "h", "v"), 0.0).join(p, "prompt_id")
         .select("prompt_id", "index", hit.alias("hit"))
         .groupBy("prompt_id", "index").agg(F.bool_and("hit").alias("covers"))
     )
@@ -150,8 +144,15 @@ def edge_coverage(pixels: DataFrame, margin: Column | None = None) -> DataFrame:
         F.count_if(F.col("y") >= bottom).alias("n_bottom"), F.count_if(F.col("x") < left).alias("n_left"),
         F.count_if(F.col("x") >= right).alias("n_right"),
     )
+    return edge_shares(counted, m)
+
+
+def edge_shares(counted: DataFrame, margin: Column) -> DataFrame:
+    """Shares of the frame and of its four strips, from the pixels counted in each."""
+    top, left = F.least(margin, F.col("h")), F.least(margin, F.col("w"))
+    bottom, right = F.greatest(F.lit(0), F.col("h") - margin), F.greatest(F.lit(0), F.col("w") - margin)
     return counted.select(
-        "mask_id", "w", "h", "x0", "y0", "x1", "y1", m.alias("margin"),
+        "mask_id", "w", "h", "x0", "y0", "x1", "y1", margin.alias("margin"),
         (F.col("area") / (F.col("w") * F.col("h"))).alias("area_share"),
         (F.col("n_top") / (top * F.col("w"))).alias("top"),
         (F.col("n_bottom") / ((F.col("h") - bottom) * F.col("w"))).alias("bottom"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.functions import boxes as B, rasters as R
-from maskloom.operators import components, masks as M, morphology, ordering
+from maskloom.operators import components, masks as M, ordering, raster_kernels, runs as row_runs
 from maskloom.session import cut_lineage
 
 # When a mask is taken to fill the frame, and which sides then follow.
@@ -66,9 +66,14 @@ def upsampled_pixels(rasters: DataFrame, limit: float = R.LOGIT_THRESHOLD) -> Da
         "x IS NOT NULL")
 
 
+def upsampled_runs(rasters: DataFrame, limit: float = R.LOGIT_THRESHOLD) -> DataFrame:
+    """As :func:`upsampled_pixels`, as row runs; nothing is shuffled and no pixel becomes a row."""
+    return raster_kernels.upsampled_runs(rasters, limit)
+
+
 def blurred(rasters: DataFrame, sigma: float = R.BLUR_SIGMA) -> DataFrame:
-    return rasters.withColumn("v", R.blur_rows(F.col("v"), F.col("w"), sigma)).withColumn(
-        "v", R.blur_columns(F.col("v"), F.col("w"), F.col("h"), sigma))
+    """Gaussian blur of array rasters; beyond the edge the edge value repeats. Stored in single precision."""
+    return raster_kernels.blurred(rasters, sigma)
 
 
 def smoothing_limits(w: Column, h: Column) -> dict[str, Column]:
@@ -92,20 +97,26 @@ def default_smoothing_limits(w: Column, h: Column) -> dict[str, Column]:
     }
 
 
+def smoothed_runs(frames: DataFrame, runs: DataFrame, speck: Column | int | None, hole: Column | int,
+                  closing: Column | int = 3, erode_after: int = 1) -> DataFrame:
+    """Drop specks (unless ``speck`` is None), fill holes, close gaps, and take back the growth, on row runs."""
+    out = runs.select(*row_runs.RUN)
+    if speck is not None:
+        out = row_runs.without_small(out, speck)
+    out = row_runs.filled_holes(frames, out, hole)
+    out = row_runs.closed(out, closing)
+    return row_runs.eroded(out, erode_after) if erode_after else out
+
+
 def smoothed(frames: DataFrame, pixels: DataFrame, speck: Column | int | None, hole: Column | int,
              closing: Column | int = 3, erode_after: int = 1) -> DataFrame:
-    """Drop specks (unless ``speck`` is None), fill holes, close gaps, and take back the growth."""
-    out = pixels.select(*M.PIXEL)
-    if speck is not None:
-        out = components.without_small(out, speck)
-    out = components.filled_holes(frames, out, hole)
-    out = morphology.closed(out, closing)
-    return morphology.eroded(out, erode_after) if erode_after else out
+    """As :func:`smoothed_runs`, from pixel rows to pixel rows."""
+    return row_runs.pixels_of_runs(smoothed_runs(frames, row_runs.runs_of_pixels(pixels), speck, hole, closing, erode_after))
 
 
-def snap_decisions(pixels: DataFrame, min_share: float = SNAP_MIN_SHARE, coverage: float = SNAP_COVERAGE) -> DataFrame:
+def snap_decisions(runs: DataFrame, min_share: float = SNAP_MIN_SHARE, coverage: float = SNAP_COVERAGE) -> DataFrame:
     """Per mask which frame sides to fill; only masks that snap are listed."""
-    s = M.edge_coverage(pixels)
+    s = row_runs.edge_coverage(runs)
     near = {
         "top": F.col("y0") <= F.col("margin"),
         "bottom": F.col("y1") + 1 >= F.col("h") - F.col("margin"),
@@ -127,10 +138,10 @@ def snap_decisions(pixels: DataFrame, min_share: float = SNAP_MIN_SHARE, coverag
         (n >= 3) | ((n >= 2) & (share >= SNAP_TWO_SIDES_SHARE)) | (mean >= coverage)))
 
 
-def snapped_to_edges(pixels: DataFrame) -> DataFrame:
-    """Fill the strips along the frame sides that a large mask already hugs, then close by one pixel."""
-    px = cut_lineage(pixels.select(*M.PIXEL))  # measured, then read for both outcomes
-    d = snap_decisions(px)
+def snapped_runs(runs: DataFrame) -> DataFrame:
+    """Fill the strips along the frame sides that a large mask already hugs, then close by one pixel; row runs."""
+    own = cut_lineage(runs.select(*row_runs.RUN))  # measured, then read for both outcomes
+    d = snap_decisions(own)
     m, w, h = F.col("margin"), F.col("w"), F.col("h")
     spans = F.array_compact(F.array(*[
         F.when(F.col(f"fill_{side}") & (x1 >= x0) & (y1 >= y0), F.struct(
@@ -142,36 +153,43 @@ def snapped_to_edges(pixels: DataFrame) -> DataFrame:
             ("right", F.greatest(F.lit(0), w - m), w - 1, F.lit(0), h - 1),
         ]
     ]))
-    strips = (
-        d.select("mask_id", "w", "h", F.explode(spans).alias("s"))
-        .select("mask_id", "w", "h", F.col("s.xa"), F.col("s.xb"), F.explode(F.sequence("s.ya", "s.yb")).alias("y"))
-        .select("mask_id", "w", "h", F.explode(F.sequence("xa", "xb")).alias("x"), "y")
-    )
+    strips = d.select("mask_id", "w", "h", F.explode(spans).alias("s")).select(
+        "mask_id", "w", "h", F.explode(F.sequence("s.ya", "s.yb")).alias("y"), F.col("s.xa").alias("x0"), F.col("s.xb").alias("x1"))
     ids = d.select("mask_id")
-    filled = M.union_masks(px.join(ids, "mask_id", "left_semi"), strips)
-    return morphology.closed(filled, 1).unionByName(px.join(ids, "mask_id", "left_anti"))
+    filled = row_runs.united_runs(own.join(ids, "mask_id", "left_semi"), strips)
+    return row_runs.closed(filled, 1).unionByName(own.join(ids, "mask_id", "left_anti").select(*row_runs.RUN))
 
 
-def refined_masks(rasters: DataFrame, points: DataFrame, sigma: float = R.BLUR_SIGMA,
-                  limit: float = R.LOGIT_THRESHOLD, limits=smoothing_limits) -> DataFrame:
-    """Blur, upsample, threshold, keep what the points touch, smooth, snap: final pixel rows.
+def snapped_to_edges(pixels: DataFrame) -> DataFrame:
+    """As :func:`snapped_runs`, from pixel rows to pixel rows."""
+    return row_runs.pixels_of_runs(snapped_runs(row_runs.runs_of_pixels(pixels)))
+
+
+def refined_runs(rasters: DataFrame, points: DataFrame, sigma: float = R.BLUR_SIGMA,
+                 limit: float = R.LOGIT_THRESHOLD, limits=smoothing_limits) -> DataFrame:
+    """Blur, upsample, threshold, keep what the points touch, smooth, snap: the final masks as row runs.
 
-    ``rasters(mask_id, w, h, v, out_w, out_h)``; ``points(mask_id, px, py)`` in output pixels.
+    ``rasters(mask_id, w, h, v, out_w, out_h)``; ``points(mask_id, px, py)`` in output pixels. No step has a row for each
+    pixel of the output, set or not.
     """
     frames = rasters.select("mask_id", F.col("out_w").alias("w"), F.col("out_h").alias("h"))
-    pixels = upsampled_pixels(blurred(rasters, sigma), limit)
     lim = limits(F.col("w"), F.col("h"))
-    pixels = components.touching_points(pixels, points, lim["speck"])
-    pixels = smoothed(frames, pixels, None, lim["hole"], lim["closing"], 1)
-    return snapped_to_edges(pixels)
+    runs = row_runs.touching_points(upsampled_runs(blurred(rasters, sigma), limit), points, lim["speck"])
+    return snapped_runs(smoothed_runs(frames, runs, None, lim["hole"], lim["closing"], 1))
+
+
+def refined_masks(rasters: DataFrame, points: DataFrame, sigma: float = R.BLUR_SIGMA,
+                  limit: float = R.LOGIT_THRESHOLD, limits=smoothing_limits) -> DataFrame:
+    """As :func:`refined_runs`, as pixel rows."""
+    return row_runs.pixels_of_runs(refined_runs(rasters, points, sigma, limit, limits))
 
 
 def text_regions(maps: DataFrame, probability: float = R.TEXT_PROBABILITY,
                  min_confidence: float = TEXT_MIN_CONFIDENCE, floors: tuple[int, int] = (TEXT_MIN_SIDE, TEXT_MIN_PIXELS)) -> DataFrame:
     """Text boxes from probability maps ``(mask_id, w, h, v, image_w, image_h)``, in image space.
 
-    Components are measured and size-filtered first; only boxes that pass meet the map again, line
-    by line, for the mean over the whole box.
+    Components are measured and size-filtered first; only boxes that pass meet the map again, as two lines of
+    its summed-area table, for the mean over the whole box.
     """
     min_side, min_pixels = floors
     px = M.thresholded(maps, probability)
@@ -186,13 +204,11 @@ def text_regions(maps: DataFrame, probability: float = R.TEXT_PROBABILITY,
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     sized = found.filter((F.col("n") >= least_pixels) & (bw >= least_side) & (bh >= least_side) & (bw * bh >= least_area))
 
-    lines = maps.select("mask_id", F.explode_outer(F.transform(
-        F.sequence(F.lit(0), h - 1), lambda y: F.struct(y.alias("y"), F.slice("v", y * w + 1, w).alias("line"))
-    )).alias("l")).select("mask_id", "l.y", "l.line")
-    box_lines = sized.select("mask_id", "label", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
-    line_sum = F.aggregate(
-        F.slice("line", F.col("x0") + 1, F.col("x1") - F.col("x0") + 1), F.lit(0.0), lambda acc, p: acc + p.cast("double"))
-    box_sums = box_lines.join(lines, ["mask_id", "y"]).groupBy("mask_id", "label").agg(F.sum(line_sum).alias("box_sum"))
+    # The box sum is what the last line of the box has summed up less what the line above it has.
+    edges = F.array(F.struct(F.col("y1").alias("y"), F.lit(1.0).alias("sign")), F.struct((F.col("y0") - 1).alias("y"), F.lit(-1.0).alias("sign")))
+    corners = sized.select("mask_id", "label", "x0", "x1", F.explode(edges).alias("e")).select("mask_id", "label", "x0", "x1", "e.y", "e.sign").filter("y >= 0")
+    part = F.col("sign") * (F.get("sums", F.col("x1") + 1) - F.get("sums", F.col("x0")))
+    box_sums = corners.join(raster_kernels.summed_lines(maps), ["mask_id", "y"]).groupBy("mask_id", "label").agg(F.sum(part).alias("box_sum"))
 
     sure = (
         sized.join(box_sums, ["mask_id", "label"]).withColumn("box_mean", F.col("box_sum") / (bw * bh))

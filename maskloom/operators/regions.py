@@ -32,7 +32,7 @@ def region_counts(documents: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(new: DataFrame, order: Sequence[Column], coarse: Sequence[Column]) -> DataFrame:
+def _numbered(new: DataFrame, order: Sequence[Column], coarse: Sequence[Column] | None) -> DataFrame:
     return ordering.ordinal(new, ["document_id"], order, coarse, "index")
 
 
@@ -62,7 +62,7 @@ def _meta(**values: Column | str) -> Column:
 _NO_POLYGON = "array<struct<x:double,y:double>>"
 
 
-def text_regions(new: DataFrame, order, coarse) -> DataFrame:
+def text_regions(new: DataFrame, order, coarse=None) -> DataFrame:
     """Layer = input position. Needs ``bbox``, ``polygon``, ``confidence`` and ``original_text``."""
     n = _numbered(new, order, coarse)
     return _row(
@@ -71,7 +71,7 @@ def text_regions(new: DataFrame, order, coarse) -> DataFrame:
     )
 
 
-def segment_regions(new: DataFrame, order, coarse) -> DataFrame:
+def segment_regions(new: DataFrame, order, coarse=None) -> DataFrame:
     """Layer = 1000 + input position. Positions are given before undecodable masks go, so gaps stay.
 
     Needs ``bbox``, ``score``, ``mask_ok``, ``folder`` and the open map ``attributes``.

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.functions import boxes as B
+from maskloom.functions.rasters import bit_at
 
 # Shares that decide a selection and a clipped candidate, and hit scoring.
 SELECTION_SHARE = 0.5
@@ -90,6 +91,21 @@ def pixel_hits(hits: DataFrame, masks: DataFrame, pixels: DataFrame, missing_mas
     )
 
 
+def bit_hits(hits: DataFrame, masks: DataFrame, missing_mask: bool = False) -> DataFrame:
+    """As :func:`pixel_hits`, with the loaded masks as packed bits ``masks(mask_id, mask_w, mask_h, bits)``.
+
+    A hit meets the packed mask, some KB, instead of pixel rows, and reads one byte of it.
+    """
+    joined = hits.join(masks, "mask_id", "left").withColumns({
+        "data_x": F.floor((F.col("px") - F.col("x")) * (F.col("mask_w") / F.col("w"))),
+        "data_y": F.floor((F.col("py") - F.col("y")) * (F.col("mask_h") / F.col("h")))})
+    inside = F.col("data_x").between(0, F.col("mask_w") - 1) & F.col("data_y").between(0, F.col("mask_h") - 1)
+    on_pixel = F.when(inside, bit_at(F.col("bits"), F.col("data_y") * F.col("mask_w") + F.col("data_x")))
+    return joined.withColumn(
+        "pixel_hit", F.when(F.col("mask_w").isNull(), F.lit(missing_mask)).otherwise(F.coalesce(on_pixel, F.lit(False))),
+    ).drop("data_x", "data_y", "mask_w", "mask_h", "bits")
+
+
 def hit_score(pixel_hit: Column, w: Column, h: Column) -> Column:
     """Pixel hits first, then small boxes."""
     size = w * h

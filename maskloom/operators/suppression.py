@@ -4,14 +4,17 @@ Boxes are visited by falling score; a box stays when its IoU with every box kept
 most the threshold. Two plans give the same result:
 
 * documents of at most ``array_limit`` boxes are folded as one sorted array per document;
-* larger documents never meet in one task. Every box is spread over size-matched tiles, and in
-  each round a box is decided once the leading boxes of all its tiles are visible to it.
+* larger documents never meet in one task. Boxes are grouped by the block of their document they begin in; a group
+  also sees the boxes around it that may overlap its own, folds its leading boxes by score, and leaves open what
+  hangs on a box that another group has yet to decide. What is left goes into larger blocks in the next round.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskloom.functions import boxes as B
@@ -20,6 +23,9 @@ from maskloom.session import cut_lineage
 # Fixed value: overlap above which the lower-scored automatic segment goes.
 AUTO_SEGMENT_IOU = 0.7
 
+#: Leading boxes of a group that one round folds; sides of a block, in box sizes as a power of two, and its growth by round.
+LEADING, BLOCK_SIDE, GROWTH = 2048, 4, 3
+
 BOX_COLUMNS = ["document_id", "region_id", "x", "y", "w", "h", "score"]
 _TILE = ["document_id", "level_x", "tile_x", "level_y", "tile_y"]
 
@@ -28,7 +34,7 @@ def keep_non_overlapping(
     regions: DataFrame,
     iou_threshold: float = AUTO_SEGMENT_IOU,
     array_limit: int = 512,
-    frontier: int = 32,
+    frontier: int = LEADING,
 ) -> DataFrame:
     """Rows of ``regions`` that survive; ties in score go to the smaller ``region_id``."""
     kept = surviving_boxes(regions.select(*BOX_COLUMNS), iou_threshold, array_limit, frontier)
@@ -36,7 +42,7 @@ def keep_non_overlapping(
 
 
 def surviving_boxes(
-    boxes: DataFrame, iou_threshold: float, array_limit: int = 512, frontier: int = 32
+    boxes: DataFrame, iou_threshold: float, array_limit: int = 512, frontier: int = LEADING
 ) -> DataFrame:
     """As :func:`keep_non_overlapping`, but with the box columns only and no join back."""
     if iou_threshold <= 0:
@@ -45,7 +51,7 @@ def surviving_boxes(
         return boxes  # IoU never exceeds 1
     small, large = _by_size(boxes, array_limit)
     folded = _fold_arrays(small, iou_threshold)
-    return folded if large is None else folded.unionByName(_tile_rounds(large, iou_threshold, frontier))
+    return folded if large is None else folded.unionByName(_group_rounds(large, iou_threshold, frontier))
 
 
 def _by_size(boxes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -139,36 +145,86 @@ def _meet(t: float) -> Column:
     return cond & (B.iou(_box("a"), _box("b")) > F.lit(t))
 
 
-def _tile_rounds(boxes: DataFrame, t: float, frontier: int) -> DataFrame:
+def _in_groups(df: DataFrame, t: float, side: int) -> DataFrame:
+    """One row per group a box is in: its own (``own``), and those whose boxes it may overlap by more than ``t``.
+
+    A group is the boxes of one size class per axis that begin in one block of ``2^side`` box sizes. Boxes that overlap by more
+    than ``t`` differ by at most ``reach`` classes per axis, and a box of class k is less than ``2^(k + 1)`` wide.
+    """
+    reach = math.ceil(math.log2(1 / t))
+
+    def keys(lo: str, size: str, cls: str) -> Column:
+        levels = F.sequence(F.greatest(F.col(cls) - reach, F.lit(0)), F.col(cls) + reach)
+        return F.flatten(F.transform(levels, lambda k: F.transform(
+            F.sequence(F.floor((F.col(lo) - F.pow(F.lit(2.0), k + 1)) / F.pow(F.lit(2.0), k + side)),
+                       F.floor((F.col(lo) + F.col(size)) / F.pow(F.lit(2.0), k + side))),
+            lambda i: F.struct(k.alias("level"), i.alias("tile")))))
+
+    def own(axis: str, cls: str) -> Column:
+        return (F.col(f"level_{axis}") == F.col(cls)) & (F.col(f"tile_{axis}") == F.floor(F.col(axis) / F.pow(F.lit(2.0), F.col(cls) + side)))
+
+    return (
+        df.withColumn("kx", F.explode(keys("x", "w", "class_x"))).withColumn("ky", F.explode(keys("y", "h", "class_y")))
+        .select("*", F.col("kx.level").alias("level_x"), F.col("kx.tile").alias("tile_x"), F.col("ky.level").alias("level_y"), F.col("ky.tile").alias("tile_y"))
+        .drop("kx", "ky").withColumn("own", own("x", "class_x") & own("y", "class_y"))
+    )
+
+
+def _folding(t: float):
+    """Fold one group's leading boxes, rows sorted by ``r``; returns the own boxes that are surely kept.
+
+    A box goes if a kept one overlaps it. It waits if it is not the group's own, or if a waiting one before it overlaps it: that one
+    may yet be kept. Otherwise all before it that overlap it are gone, and it is kept.
+    """
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        x, y, w, h = (pdf[c].to_numpy(float) for c in ("x", "y", "w", "h"))
+        own = pdf["own"].to_numpy(bool)
+        held = {True: np.zeros((5, len(x))), False: np.zeros((5, len(x)))}  # kept, waiting: left, top, right, bottom, area
+        count, keep = {True: 0, False: 0}, np.zeros(len(x), bool)
+
+        def meets(kind: bool, i: int) -> bool:
+            left, top, right, bottom, area = held[kind][:, :count[kind]]
+            dx = np.minimum(right, x[i] + w[i]) - np.maximum(left, x[i])
+            dy = np.minimum(bottom, y[i] + h[i]) - np.maximum(top, y[i])
+            hit = (dx > 0) & (dy > 0)
+            inter = dx[hit] * dy[hit]
+            return bool((inter / (area[hit] + w[i] * h[i] - inter) > t).any())
+
+        for i in range(len(x)):
+            if meets(True, i):
+                continue
+            keep[i] = own[i] and not meets(False, i)
+            held[bool(keep[i])][:, count[bool(keep[i])]] = x[i], y[i], x[i] + w[i], y[i] + h[i], w[i] * h[i]
+            count[bool(keep[i])] += 1
+        return pdf.loc[keep, ["document_id", "region_id"]]
+    return fold
+
+
+def _group_rounds(boxes: DataFrame, t: float, leading: int) -> DataFrame:
+    """Rounds over groups of boxes; the number of rounds grows with the longest chain of decisions divided by ``leading``."""
     whole = (F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()
     flat = ~F.coalesce(whole, F.lit(False))
     kept = [boxes.filter(flat)]  # a box without area, or with an unknown side, overlaps nothing
     # Of equal boxes only the leading one can stay; this also dissolves heaps of copies early.
     geometry = ["document_id", "x", "y", "w", "h"]
-    open_boxes = (
+    open_boxes = cut_lineage(
         boxes.filter(~flat)
         .groupBy(*geometry)
         .agg(F.min(F.struct((-F.col("score")).alias("o"), "region_id")).alias("ord"))
         .withColumn("class_x", _size_class(F.col("w")))
         .withColumn("class_y", _size_class(F.col("h")))
     )
-    open_boxes = cut_lineage(open_boxes)
-    ident = ["document_id", "ord"]
+    ident, side = ["document_id", "ord"], BLOCK_SIDE
+    schema = boxes.select("document_id", "region_id").schema
     while not open_boxes.isEmpty():
-        # Leading boxes of every tile. The rank limit is applied before the shuffle as well, so a
-        # crowded tile sends at most ``frontier`` rows per map task.
-        in_tile = Window.partitionBy(*_TILE).orderBy("ord")
-        lead = cut_lineage(
-            _spread(open_boxes, t).withColumn("r", F.row_number().over(in_tile))
-            .filter(F.col("r") <= frontier).drop("r")
-        )
-        visible = lead.groupBy(*ident).agg(F.count("*").alias("n"), F.first("n_tiles").alias("all")).filter("n = all")
-        blocked = (
-            lead.alias("a").join(lead.alias("b"), _meet(t) & (F.col("b.ord") < F.col("a.ord")), "left_semi")
-            .select(*ident).distinct()
-        )
-        won = visible.select(*ident).join(blocked, ident, "left_anti")
-        won = cut_lineage(open_boxes.join(won, ident, "left_semi"))
+        # The rank limit is applied before the shuffle as well, so a crowded group sends few rows per map task.
+        in_group = Window.partitionBy(*_TILE).orderBy("ord")
+        lead = _in_groups(open_boxes, t, side).withColumn("r", F.row_number().over(in_group)).filter(F.col("r") <= leading)
+        sure = lead.select(*_TILE, "r", "own", *geometry[1:], F.col("ord.region_id").alias("region_id")).groupBy(
+            *_TILE).applyInPandas(_folding(t), schema)
+        won = cut_lineage(open_boxes.withColumn("region_id", F.col("ord.region_id")).join(
+            sure, ["document_id", "region_id"], "left_semi").drop("region_id"))
         kept.append(won.select(
             "document_id", F.col("ord.region_id").alias("region_id"), "x", "y", "w", "h",
             (-F.col("ord.o")).alias("score"),
@@ -183,6 +239,7 @@ def _tile_rounds(boxes: DataFrame, t: float, frontier: int) -> DataFrame:
         open_boxes = cut_lineage(
             open_boxes.join(won.select(*ident), ident, "left_anti").join(beaten, ident, "left_anti")
         )
+        side += GROWTH
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)

@@ -342,8 +342,7 @@ FROM n LEFT JOIN taken t ON t.d = n.d""")
 def daily_names(spark, sf):
     """The rows of one table stand for new documents, those of another for the names already given."""
     new = view(spark, sf, "regions").select("region_id", "document_id", F.col("found_at").alias("day"))
-    named = intake.assign_names(
-        new, _existing_names(spark, sf), "day", ["document_id", "region_id"], [F.floor(F.col("document_id") / 4096)])
+    named = intake.assign_names(new, _existing_names(spark, sf), "day", ["document_id", "region_id"])
     return named.select(F.col("region_id").alias("document_id"), "name")
 
 

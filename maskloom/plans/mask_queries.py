@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.functions import rasters as RF
-from maskloom.operators import components, masks as M, morphology, refinement
+from maskloom.operators import components, masks as M, morphology, raster_kernels, refinement, runs as row_runs
 from maskloom.plans.registry import query, rounded, rounded_sql
 from maskloom.sources.adapters import PIXELS_SQL, table, view, view_sql
 
@@ -43,6 +43,16 @@ def mask_boxes(spark, sf):
     return M.mask_boxes(_rasters(spark, sf), _set(spark, sf, 0.3))
 
 
+@query("packed_masks", f"""{_PX}, b AS (SELECT mask_id, y, sum(CASE WHEN v > 0.05::DOUBLE THEN 1 << cast(7 - x AS int) ELSE 0 END)::BIGINT AS byte FROM pixels GROUP BY 1, 2)
+SELECT b.mask_id, y, byte, n_set FROM b JOIN (SELECT mask_id, count(*) FILTER (v > 0.05::DOUBLE) AS n_set FROM pixels GROUP BY 1) n ON n.mask_id = b.mask_id""")
+def packed_masks(spark, sf):
+    """A line of these rasters is one byte."""
+    packed = raster_kernels.packed(_rasters(spark, sf), 0.05)
+    y = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")
+    return packed.select("mask_id", y, "bits", F.col("n_set").cast("long").alias("n_set")).select(
+        "mask_id", F.col("y").cast("long").alias("y"), F.conv(F.hex(F.substring("bits", F.col("y") + 1, F.lit(1))), 16, 10).cast("long").alias("byte"), "n_set")
+
+
 _SCORES = """flips AS (SELECT mask_id,
   sum(CASE WHEN (v > 0) <> (lag(v) OVER (PARTITION BY mask_id, y ORDER BY x) > 0) THEN 1 ELSE 0 END) AS fx FROM (
     SELECT * FROM pixels) GROUP BY mask_id),
@@ -263,6 +273,49 @@ def filled_holes(spark, sf):
     return _xy(components.filled_holes(_rasters(spark, sf), _solid(spark, sf), 3))
 
 
+def _runs_sql(source: str) -> str:
+    """Runs of the pixels of ``source``: in a run, x and its rank in the line differ by one number."""
+    return f"""SELECT mask_id, y, min(x) AS x0, max(x) AS x1 FROM (
+  SELECT mask_id, x, y, x - row_number() OVER (PARTITION BY mask_id, y ORDER BY x) AS g FROM ({source})) GROUP BY mask_id, y, g"""
+
+
+def _lines(runs):
+    return runs.select("mask_id", *[F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1")])
+
+
+def _solid_runs(spark, sf):
+    return row_runs.runs_of_rasters(_rasters(spark, sf), -0.05)
+
+
+@query("mask_runs", f"{_SOLID} {_runs_sql('p')}")
+def mask_runs(spark, sf):
+    return _lines(_solid_runs(spark, sf))
+
+
+@query("background_runs", f"{_SOLID} {_runs_sql('SELECT mask_id, x, y FROM pixels EXCEPT SELECT mask_id, x, y FROM p')}")
+def background_runs(spark, sf):
+    return _lines(row_runs.complement(_rasters(spark, sf), _solid_runs(spark, sf)))
+
+
+@query("closed_runs", f"{_SET}, d AS ({_dilated_sql('p')}) {_runs_sql(_eroded_sql('d'))}")
+def closed_runs(spark, sf):
+    return _lines(row_runs.closed(row_runs.runs_of_rasters(_rasters(spark, sf), 0.05), 1))
+
+
+@query("opened_runs", f"{_SOLID}, e AS ({_eroded_sql('p')}) {_runs_sql(_dilated_sql('e'))}")
+def opened_runs(spark, sf):
+    return _lines(row_runs.opened(_solid_runs(spark, sf), 1))
+
+
+@query("run_components", f"""{_LABELS}, c AS (SELECT mask_id, label, count(*) AS area FROM lab GROUP BY 1, 2)
+SELECT mask_id, label, area FROM c""")
+def run_components(spark, sf):
+    """Components of row runs through bands of three lines and the merge across them."""
+    runs = row_runs.runs_of_rasters(_rasters(spark, sf), 0.05)
+    first = F.floor(F.col("label") / components.ROW) * 8 + F.col("label") % components.ROW
+    return row_runs.component_sizes(row_runs.labelled(runs, band=3)).select("mask_id", first.alias("label"), "area")
+
+
 @query("components_at_points", f"""{_LABELS}, pts AS (SELECT mask_id, mask_id % 8 AS x, (mask_id // 8) % 8 AS y FROM ids WHERE mask_id % 10 <> 0),
 hit AS (SELECT l.mask_id, l.label FROM lab l JOIN pts t ON t.mask_id = l.mask_id AND t.x = l.x AND t.y = l.y),
 big AS (SELECT mask_id, label FROM lab WHERE mask_id IN (SELECT mask_id FROM pts) AND mask_id NOT IN (SELECT mask_id FROM hit)
@@ -372,8 +425,8 @@ def refined_masks(spark, sf):
     r = _rasters(spark, sf).withColumns({"out_w": F.lit(_FW), "out_h": F.lit(_FH)})
     pts = r.filter("mask_id % 5 <> 0").select(
         "mask_id", (F.col("mask_id") % _FW).cast("double").alias("px"), (F.col("mask_id") * 7 % _FH).cast("double").alias("py"))
-    px = refinement.refined_masks(r, pts, limit=-0.01, limits=lambda w, h: {"speck": 6, "hole": 5, "closing": 1})
-    return M.mask_boxes(r.select("mask_id"), px)
+    runs = refinement.refined_runs(r, pts, limit=-0.01, limits=lambda w, h: {"speck": 6, "hole": 5, "closing": 1})
+    return row_runs.run_boxes(r.select("mask_id"), runs)
 
 
 @query("refined_masks_large")
@@ -383,7 +436,7 @@ def refined_masks_large(spark, sf):
         "out_w": F.lit(40) + (F.col("label") % 3).cast("int") * 8, "out_h": F.lit(32)})
     pts = r.filter("mask_id % 5 <> 0").select(
         "mask_id", (F.col("mask_id") % F.col("out_w")).cast("double").alias("px"), (F.col("mask_id") * 7 % 32).cast("double").alias("py"))
-    return M.mask_boxes(r.select("mask_id"), refinement.refined_masks(r, pts, limit=0.01))
+    return row_runs.run_boxes(r.select("mask_id"), refinement.refined_runs(r, pts, limit=0.01))
 
 
 _TEXT = f"""{_PX}, q AS (SELECT mask_id, x, y, v * 2 + 0.45::DOUBLE AS pr FROM pixels), p AS (SELECT * FROM q WHERE pr > 0.5::DOUBLE),

@@ -10,7 +10,7 @@ from maskloom.plans.registry import query, rounded, rounded_sql
 from maskloom.sources.adapters import table, view, view_sql
 
 def _order():
-    return [F.col("found_at"), F.col("region_id")], [F.trunc("found_at", "month")]
+    return [F.col("found_at"), F.col("region_id")], None
 
 
 def _incoming(spark, sf, kind):

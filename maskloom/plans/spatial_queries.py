@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.functions import boxes as B
-from maskloom.operators import ordering, spatial, suppression
+from maskloom.operators import ordering, raster_kernels, spatial, suppression
 from maskloom.plans.registry import query, rounded, rounded_sql
 from maskloom.sources.adapters import table, view, view_sql
 
@@ -126,13 +126,9 @@ decided AS (SELECT *, CASE WHEN missing THEN FALSE WHEN dx > 7 OR dy > 7 THEN FA
 def _pixel_hits(spark, sf, missing_mask=False):
     hits = spatial.point_hits(view(spark, sf, "regions"), view(spark, sf, "points"))
     hits = hits.withColumn("mask_id", F.expr(_MASK_OF))
-    rasters = view(spark, sf, "rasters")
-    masks = rasters.select("mask_id", F.col("w").alias("mask_w"), F.col("h").alias("mask_h"))
-    alpha = F.when(F.col("value") > F.lit(0.05).cast("float"), 255).otherwise(0)
-    pixels = rasters.select("mask_id", F.posexplode("v").alias("i", "value")).select(
-        "mask_id", (F.col("i") % 8).cast("long").alias("x"), F.floor(F.col("i") / 8).alias("y"), alpha.alias("alpha")
-    )
-    return spatial.pixel_hits(hits, masks, pixels, missing_mask)
+    packed = raster_kernels.packed(view(spark, sf, "rasters").select("mask_id", "w", "h", "v"), 0.05000000074505806)  # 0.05 in single precision
+    masks = packed.select("mask_id", F.col("w").alias("mask_w"), F.col("h").alias("mask_h"), "bits")
+    return spatial.bit_hits(hits, masks, missing_mask)
 
 
 @query("pixel_hits", f"""{view_sql('regions', 'points')}, {_PIXEL_HITS}
@@ -237,7 +233,7 @@ SELECT document_id, region_id, (row_number() OVER (PARTITION BY document_id ORDE
 FROM regions WHERE type <> 'text' AND w > 0 AND h > 0""")
 def palette_colours(spark, sf):
     shown = view(spark, sf, "regions").filter("type <> 'text' AND w > 0 AND h > 0")
-    out = ordering.palette_index(shown, [F.col("found_at"), F.col("region_id")], [F.trunc("found_at", "month")])
+    out = ordering.palette_index(shown, [F.col("found_at"), F.col("region_id")])
     return out.select("document_id", "region_id", "colour")
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
 from maskloom.functions import images, urls
 from maskloom.operators import intake, pacing, regions, suppression, updates, validation
-from maskloom.session import fresh_dir
+from maskloom.session import cut_lineage, fresh_dir
+from maskloom.streaming.state import BucketTable
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -48,10 +50,11 @@ def start_intake(captures: DataFrame, out: str, checkpoint: str, fetches: DataFr
 def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame | None = None) -> None:
     """Accept or reject, acknowledge as ``loading``, then process to ``ready`` or ``error``.
 
-    Writes ``states`` (a change feed), ``documents``, ``assets``, ``regions`` and ``rejected`` below ``out``. Every
-    document gets its name for the day. An inline image is decoded here. An image address passes the guard and,
-    if there is a log ``fetches`` with one row per address as :func:`intake.fetched_assets` takes it, is judged by its
-    outcome; an address that the log lacks ends in ``not_fetched``. A saved image is an asset row; regions
+    Writes ``states`` (a change feed), ``documents``, ``assets``, ``regions``, ``rejected`` and ``taken`` below ``out``. Every
+    document gets its name for the day; ``taken`` keeps the highest number of each day, which is all a batch reads of
+    those before it. An inline image is decoded here. An image address passes the guard and,
+    if there is a log ``fetches`` as :func:`intake.fetched_assets` takes it, is judged by its outcome (by the least of
+    them if an address is there more than once, success before refusals); an address that the log lacks ends in ``not_fetched``. A saved image is an asset row; regions
     are saved for documents that become ``ready``.
     """
     captures = captures.persist()
@@ -66,7 +69,8 @@ def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame |
         there = F.col("content").isNotNull()
     else:
         judged = intake.fetched_assets(fetches).select(
-            "image_url", F.coalesce("refusal", F.lit("")).alias("outcome"), F.struct(*kept).alias("fetch"))
+            "image_url", F.struct(F.coalesce("refusal", F.lit("")).alias("outcome"), F.struct(*kept).alias("fetch")).alias("o")).groupBy(
+            "image_url").agg(F.min("o").alias("o")).select("image_url", "o.outcome", "o.fetch")
         fetched = accepted.join(judged, "image_url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("not_fetched")))
         by_address = F.col("image_url").isNotNull()
         fetched = fetched.withColumns({c: F.when(by_address, F.col("fetch")[c]).otherwise(F.col(c)) for c in kept})
@@ -83,19 +87,30 @@ def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame |
     _write_batch(done.drop("size", "content_type", "text_regions", "segment_regions"), f"{out}/documents", batch)
     _write_batch(_assets(done.filter("original_asset_id IS NOT NULL")), f"{out}/assets", batch)
     _write_batch(_regions(done.filter("status = 'ready'")), f"{out}/regions", batch)
+    _write_batch(_given(done, batch, out), f"{out}/taken", batch)
     feed = docs.filter("valid").select("request_id", F.lit(0).alias("step"), F.lit("loading").alias("status"))
     _write_batch(feed.unionByName(done.select("request_id", F.lit(1).alias("step"), "status")), f"{out}/states", batch)
     done.unpersist()
     captures.unpersist()
 
 
+def _taken(spark: SparkSession, batch: int, out: str) -> DataFrame:
+    """Highest number given so far on each day, as the batch before left it."""
+    if not batch:
+        return spark.createDataFrame([], "day_key string, taken int")
+    return spark.read.schema("day_key string, taken int").parquet(f"{out}/taken/batch={batch - 1}")
+
+
+def _given(named: DataFrame, batch: int, out: str) -> DataFrame:
+    """Highest number given on each day, with those of this batch."""
+    own = intake.taken_numbers(named).select("day_key", F.col("taken").cast("int").alias("taken"))
+    return _taken(named.sparkSession, batch, out).unionByName(own).groupBy("day_key").agg(F.max("taken").alias("taken"))
+
+
 def _named(docs: DataFrame, batch: int, out: str) -> DataFrame:
     """Names by the day of the request, after those of earlier batches; a request without a day stays unnamed."""
-    spark = docs.sparkSession
-    existing = spark.createDataFrame([], "name string") if not batch else spark.read.parquet(f"{out}/documents").filter(
-        F.col("batch") < batch).select("name")
-    dated = intake.assign_names(docs.filter("requested_at IS NOT NULL"), existing, "requested_at", ["request_id"],
-                                [F.floor(F.col("request_id") / 4096)])
+    dated = intake.assign_names_after(docs.filter("requested_at IS NOT NULL"), _taken(docs.sparkSession, batch, out), "requested_at",
+                                      ["request_id"], [F.floor(F.col("request_id") / 4096)])
     return dated.unionByName(docs.filter("requested_at IS NULL").withColumn("name", F.lit(None).cast("string")))
 
 
@@ -194,63 +209,72 @@ def debounced(events: DataFrame, pause_ms: int, slice_ms: int | None = None) ->
     return emitted.unionByName(open_)
 
 
+def _survivors(spark: SparkSession, schema: StructType, out: str) -> BucketTable:
+    return BucketTable(spark, f"{out}/survivors", StructType([schema[c] for c in suppression.BOX_COLUMNS]), "document_id", "region_id")
+
+
 def progressive_batch(boxes: DataFrame, batch: int, out: str, iou_threshold: float) -> None:
     """Suppression over what survived so far and the new boxes; emits new survivors only.
 
-    Survivors live in a log of additions and removals below ``out/log``, one folder per batch.
-    Only documents of the batch are read back. What was emitted is never taken back, so the union
-    of emissions can exceed the final survivors.
+    Survivors are a table in buckets of documents below ``out/survivors``; a batch reads and rewrites the buckets of its own
+    documents. New survivors are written to ``out/emitted``, a folder a batch. What was emitted is never taken back, so the
+    union of emissions can exceed the final survivors.
     """
-    spark = boxes.sparkSession
-    cols = suppression.BOX_COLUMNS
+    cols, on = suppression.BOX_COLUMNS, ["document_id", "region_id"]
+    table = _survivors(boxes.sparkSession, boxes.schema, out)
     new = boxes.select(*cols).persist()
-    log = _log(spark, out, batch)
-    kept = new.limit(0) if log is None else _standing(log).join(
-        new.select("document_id").distinct(), "document_id", "left_semi").select(*cols)
-    on = ["document_id", "region_id"]
-    survivors = suppression.surviving_boxes(kept.unionByName(new), iou_threshold).select(*on)
-    added = new.join(survivors, on, "left_semi").withColumn("change", F.lit(1))
-    removed = kept.join(survivors, on, "left_anti").withColumn("change", F.lit(-1))
-    _write_batch(added.unionByName(removed), f"{out}/log", batch)
+    touched = table.touched(new)
+    stood = (table.read(batch, touched) if batch else boxes.limit(0).select(*cols)).persist()
+    mine = new.select("document_id").distinct()
+    together = stood.join(mine, "document_id", "left_semi").unionByName(new)
+    survivors = cut_lineage(suppression.surviving_boxes(together, iou_threshold).select(*on))
+    _write_batch(new.join(survivors, on, "left_semi"), f"{out}/emitted", batch)
+    table.write(batch + 1, stood.join(mine, "document_id", "left_anti").unionByName(together.join(survivors, on, "left_semi")), touched if batch else None)
     new.unpersist()
+    stood.unpersist()
 
 
-def _log(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    if before == 0:
-        return None
-    return spark.read.parquet(f"{out}/log").filter(F.col("batch") < before)
-
-
-def _standing(log: DataFrame) -> DataFrame:
-    on = ["document_id", "region_id"]
-    return log.filter("change = 1").join(log.filter("change = -1").select(*on), on, "left_anti")
+def start_progressive(boxes: DataFrame, out: str, checkpoint: str, iou_threshold: float) -> StreamingQuery:
+    """Emit survivors of a stream of boxes over what is available; started again with its checkpoint it goes on where it ended."""
+    return (
+        boxes.writeStream.foreachBatch(lambda df, n: progressive_batch(df, n, out, iou_threshold))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def progressive_survivors(boxes: DataFrame, iou_threshold: float, label: str = "progressive") -> DataFrame:
     """All boxes a stream emits over what is available now, with the batch that emitted them."""
-    out = fresh_dir(boxes.sparkSession, label)
-    run_batches(boxes, label, lambda df, n: progressive_batch(df, n, out, iou_threshold))
-    return boxes.sparkSession.read.parquet(f"{out}/log").filter("change = 1").drop("change")
+    spark = boxes.sparkSession
+    out = fresh_dir(spark, label)
+    start_progressive(boxes, out, fresh_dir(spark, f"{label}-state"), iou_threshold).awaitTermination()
+    schema = StructType([boxes.schema[c] for c in suppression.BOX_COLUMNS]).add("batch", IntegerType())
+    return spark.read.schema(schema).parquet(f"{out}/emitted")
 
 
 def update_batch(documents_path: str, out: str) -> Callable[[DataFrame, int], None]:
     """Handler that folds a batch of changes onto the newest document table and lists refused ones.
 
-    Version ``n + 1`` of the table is written from version ``n``; version 0 is ``documents_path``.
+    The table is kept in buckets of documents below ``out/documents``, version 0 being ``documents_path``. Version ``n + 1``
+    rewrites the buckets of the documents that batch n changes; all others stay the files they are.
     """
     def handle(changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
-        current = spark.read.parquet(documents_path if batch == 0 else f"{out}/documents/version={batch}")
-        refused = updates.judged_updates(changes).filter("NOT valid")
-        _write_batch(refused.select("document_id", "seq", F.to_json(validation.error_report(F.col("errors"))).alias("report")),
+        if batch == 0:
+            first = spark.read.parquet(documents_path)
+            BucketTable(spark, f"{out}/documents", first.schema, "document_id", "document_id").write(0, first)
+        table = BucketTable.opened(spark, f"{out}/documents", "document_id", "document_id")
+        changes = changes.persist()
+        judged = updates.judged_updates(changes)
+        _write_batch(judged.filter("NOT valid").select("document_id", "seq", F.to_json(validation.error_report(F.col("errors"))).alias("report")),
                      f"{out}/refused", batch)
-        updates.folded(current, changes).write.mode("overwrite").parquet(f"{out}/documents/version={batch + 1}")
+        touched = table.touched(judged.filter("valid"))
+        table.write(batch + 1, updates.folded(table.read(batch, touched), changes), touched)
+        changes.unpersist()
 
     return handle
 
 
 def newest_documents(spark: SparkSession, out: str) -> DataFrame:
     """The table after the last batch that :func:`update_batch` handled."""
-    versions = spark.read.parquet(f"{out}/documents")
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    table = BucketTable.opened(spark, f"{out}/documents", "document_id", "document_id")
+    return table.read(max(table.versions()))

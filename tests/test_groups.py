@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from maskloom.operators import history, ordering, pacing, spatial, suppression as S, updates
 from maskloom.session import fresh_dir
@@ -256,3 +256,45 @@ def test_unknown_sides_and_scores_on_both_sides_of_the_size_switch(spark):
     df = spark.createDataFrame(rows, "document_id long, region_id string, x double, y double, w double, h double, score double")
     few, many = ({r.region_id for r in S.surviving_boxes(df, 0.4, array_limit=n).collect()} for n in (2, 512))
     assert few == many and {"r3", "r5", "f", "n"} <= few
+
+
+def test_ordinal_splits_one_document_with_one_time_stamp(spark):
+    """A million rows of one key that differ in the tie-breaker only: many slices, none of them large, the same numbers."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(7).alias("document_id"), F.lit("2024-05-01").cast("timestamp").alias("found_at"),
+                               ((F.col("id") * 7919) % n).alias("region_id"))
+    order = [F.col("found_at"), F.col("region_id")]
+    points = ordering.split_points(df, order, 16)
+    sizes = [r["count"] for r in df.groupBy(ordering.slice_number(df, order, points).alias("s")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < n / 8
+    got = ordering.ordinal(df, ["document_id"], order, slices=16)
+    assert got.filter(F.col("position") != F.col("region_id") + 1).isEmpty() and got.count() == n
+
+
+def test_ordinal_orders_like_one_window(spark):
+    """Nulls, strings, repeated keys and tables smaller than the number of slices."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 2 else f"d{k}", None if v == 0 else float(v), f"r{i:03d}") for i, (k, v) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 6, 300)))]
+    for part in (rows, rows[:3], rows[:1], []):
+        df = spark.createDataFrame(part, "k string, v double, i string")
+        want = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
+        got = ordering.ordinal(df, ["k"], [F.col("v"), F.col("i")], slices=8)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("t, leading", [(0.3, 8), (0.5, 64), (0.7, 2048)])
+def test_groups_of_a_crowded_document(spark, t, leading):
+    rows = crowd(400, 31, copies=0.1)
+    df = boxes(spark, rows)
+    assert {r.region_id for r in S.surviving_boxes(df, t, array_limit=50, frontier=leading).collect()} == greedy(rows, t)
+
+
+def test_a_falling_chain_needs_few_rounds(spark, monkeypatch):
+    """10,000 boxes, each overlapping the next with a lower score: every other one stays, after some rounds and not thousands."""
+    rows = [(7, f"r{i:05d}", i * 2.0, 0.0, 10.0, 10.0, 1.0 - i / 20_000) for i in range(10_000)]
+    rounds = []
+    folding = S._folding
+    monkeypatch.setattr(S, "_folding", lambda t: rounds.append(t) or folding(t))
+    df = boxes(spark, rows)
+    got = sorted(r.region_id for r in S.surviving_boxes(df, 0.6).collect())
+    assert got == [f"r{i:05d}" for i in range(0, 10_000, 2)] and len(rounds) < 20

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import rasters as RF
-from maskloom.operators import components as C, masks as M, morphology as mo, refinement as rf
+from maskloom.operators import components as C, masks as M, morphology as mo, raster_kernels as RK, refinement as rf, runs as RR, spatial
 
 
 def to_pixels(spark, arrays):
@@ -249,3 +249,159 @@ def test_raster_measures(spark):
     assert (r.flips, r.positives) == (flips, pos.sum())
     assert r.stability == (v > 1).sum() / (v > -1).sum() and r.coverage == pos.mean()
     assert r.compactness == 1 - min(1, flips / (pos.sum() * 4))
+
+
+def run_arrays(df, arrays):
+    """Runs as rasters; runs must be maximal and inside the frame."""
+    out, ends = {k: np.zeros_like(a) for k, a in arrays.items()}, set()
+    for r in df.collect():
+        line = out[r.mask_id][r.y]
+        assert (r.w, r.h) == arrays[r.mask_id].shape[::-1] and 0 <= r.x0 <= r.x1 < r.w
+        assert not line[max(r.x0 - 1, 0):r.x1 + 2].any(), "runs overlap or touch"
+        line[r.x0:r.x1 + 1] = True
+        ends.add((r.mask_id, r.y, r.x0))
+    return out
+
+
+def same_runs(df, want):
+    got = run_arrays(df, want)
+    for k in want:
+        assert (got[k] == want[k]).all(), k
+
+
+def test_runs_and_their_complement(spark, arrays):
+    runs = RR.runs_of_pixels(to_pixels(spark, arrays))
+    same_runs(runs, arrays)
+    same(RR.pixels_of_runs(runs), arrays)
+    same_runs(RR.complement(frames_of(spark, arrays), runs), {k: ~a for k, a in arrays.items()})
+    same_runs(RR.united_runs(runs, RR.complement(frames_of(spark, arrays), runs)), {k: np.ones_like(a) for k, a in arrays.items()})
+    rows = [(k, a.shape[1], a.shape[0], [float(v) for v in a.ravel()]) for k, a in arrays.items()]
+    same_runs(RR.runs_of_rasters(spark.createDataFrame(rows, "mask_id long, w int, h int, v array<float>"), 0.5), arrays)
+
+
+@pytest.mark.parametrize("r", [1, 2, 4])
+def test_run_morphology(spark, arrays, r):
+    runs = RR.runs_of_pixels(to_pixels(spark, arrays))
+    same_runs(RR.dilated(runs, r), {k: dilate(a, r) for k, a in arrays.items()})
+    same_runs(RR.eroded(runs, r), {k: erode(a, r) for k, a in arrays.items()})
+    same_runs(RR.closed(runs, F.lit(r) + F.col("w") * 0), {k: erode(dilate(a, r), r) for k, a in arrays.items()})
+    same_runs(RR.opened(runs, r), {k: dilate(erode(a, r), r) for k, a in arrays.items()})
+
+
+@pytest.mark.parametrize("band", [64, 1, 3])
+def test_run_components(spark, arrays, band):
+    runs = RR.runs_of_pixels(to_pixels(spark, arrays))
+    got = {k: np.full(a.shape, -1) for k, a in arrays.items()}
+    for r in RR.labelled(runs, band).collect():
+        got[r.mask_id][r.y, r.x0:r.x1 + 1] = (r.label // C.ROW) * r.w + r.label % C.ROW
+    for k, a in arrays.items():
+        assert (got[k] == flood(a)).all(), k
+    same_runs(RR.without_small(runs, 5, band), {k: drop_small(a, 5) for k, a in arrays.items()})
+    same_runs(RR.filled_holes(frames_of(spark, arrays), runs, 5, band), {k: ~drop_small(~a, 5) for k, a in arrays.items()})
+
+
+def test_run_measures(spark, arrays):
+    runs, px = RR.runs_of_pixels(to_pixels(spark, arrays)), to_pixels(spark, arrays)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    frames = frames_of(spark, arrays)
+    assert rows(RR.run_boxes(frames, runs)) == rows(M.mask_boxes(frames, px))
+    assert rows(RR.edge_coverage(runs)) == rows(M.edge_coverage(px))
+
+
+def test_large_frame_has_no_row_per_pixel(spark):
+    """A 2048 x 2048 frame: a disc with a hole and specks; every table has a row per line and run at most."""
+    n = 2048
+    y, x = np.mgrid[:n, :n]
+    d2 = (y - 1000) ** 2 + (x - 900) ** 2
+    a = (d2 < 800 ** 2) & (d2 >= 12 ** 2)
+    a[5:9, 5:9] = True
+    lines = [(1, n, n, int(r), int(s), int(e) - 1) for r in range(n) for s, e in zip(*[np.flatnonzero(np.diff(np.pad(a[r], 1).astype(np.int8)) == v) for v in (1, -1)])]
+    runs = spark.createDataFrame(lines, "mask_id long, w int, h int, y int, x0 int, x1 int")
+    frame = spark.createDataFrame([(1, n, n)], "mask_id long, w int, h int")
+    assert RR.complement(frame, runs).count() < 3 * n
+    out = rf.smoothed_runs(frame, runs, 100, 1000, 3, 1)
+    rows = out.collect()
+    assert len(rows) < 2 * n
+    got = np.zeros((n, n), bool)
+    for r in rows:
+        got[r.y, r.x0:r.x1 + 1] = True
+
+    def grow(b, r):  # plain square dilation by shifts
+        for axis in (0, 1):
+            b = np.logical_or.reduce([np.roll(np.pad(b, r), k, axis)[r:-r, r:-r] for k in range(-r, r + 1)])
+        return b
+
+    whole = d2 < 800 ** 2
+    closed = ~grow(~grow(whole, 3), 3)
+    assert (got == ~grow(~closed, 1)).all()
+
+
+def plain_scores(v, offset):
+    pos = v > 0
+    flips = (pos[:, 1:] != pos[:, :-1]).sum() + (pos[1:] != pos[:-1]).sum()
+    loose = (v > -offset).sum()
+    return ((v > offset).sum() / loose if loose else 0.0, flips, pos.sum(), pos.mean(), 1 - min(1, flips / (pos.sum() * 4)) if pos.any() else 0.0)
+
+
+def test_kernels_on_large_and_odd_rasters(spark):
+    """256 x 256 beside other sizes in one batch; no size, too short an array, nulls inside."""
+    rng = np.random.default_rng(9)
+    arrays = {1: rng.normal(0, 1.5, (256, 256)), 2: rng.normal(0, 1.5, (256, 256)), 3: rng.normal(0, 1.5, (7, 31)), 4: np.full((3, 2), -1.0), 5: np.ones((1, 1))}
+    arrays = {k: a.astype(np.float32) for k, a in arrays.items()}
+    rows = [(k, a.shape[1], a.shape[0], [float(t) for t in a.ravel()], 300 if k < 3 else 40, 200 if k < 3 else 10, f"m{k}") for k, a in arrays.items()]
+    odd = [(10, 2, 2, [1.0, None, 3.0], 4, 4, "m"), (11, 0, 5, [], 3, 3, "m"), (12, None, 3, None, 3, 3, None), (13, 2, 1, None, 3, 3, "m")]
+    df = spark.createDataFrame(rows + odd, "mask_id long, w int, h int, v array<float>, out_w int, out_h int, name string").coalesce(1)
+
+    scores = {r.mask_id: r for r in RK.raster_scores(df, 1.0).collect()}
+    for k, a in arrays.items():
+        r = scores[k]
+        assert np.allclose((r.stability, r.flips, r.positives, r.coverage, r.compactness), plain_scores(a, 1.0)) and r.name == f"m{k}"
+    assert (scores[10].positives, scores[10].flips, scores[13].positives) == (2, 2, 0)
+    assert scores[11].positives is None and scores[12].stability is None and len(scores) == 9
+
+    blurs = {r.mask_id: r.v for r in RK.blurred(df, 1.0).collect()}
+    for k, a in arrays.items():
+        assert (np.array(blurs[k], np.float32) == blur(a, 1.0).ravel()).all()
+
+    bits = {r.mask_id: r for r in RK.packed(df, 0.25).collect()}
+    for k, a in arrays.items():
+        assert (np.unpackbits(np.frombuffer(bits[k].bits, np.uint8))[:a.size] == (a.ravel() > 0.25)).all() and bits[k].n_set == (a > 0.25).sum()
+    probed = RK.packed(df.filter("mask_id = 3"), 0.25).select(F.explode(F.sequence(F.lit(0), F.lit(216))).alias("i"), "bits").select("i", RF.bit_at(F.col("bits"), F.col("i")).alias("on"))
+    assert {r.i: r.on for r in probed.collect()} == dict(enumerate((arrays[3].ravel() > 0.25).tolist()))
+
+    known = df.filter("mask_id < 10")
+    want = {k: upsample(a, 300, 200) > 1.0 if k < 3 else upsample(a, 40, 10) > 1.0 for k, a in arrays.items()}
+    same_runs(RK.upsampled_runs(known, 1.0), want)
+    same(rf.upsampled_pixels(known, 1.0), want)
+    assert {r.mask_id for r in RK.upsampled_runs(df, -5.0).collect()} == {1, 2, 3, 4, 5, 10}
+
+
+def test_bit_hits_agree_with_pixel_rows(spark):
+    rng = np.random.default_rng(11)
+    arrays = {k: rng.random((5 + k, 9)) > 0.5 for k in range(4)}
+    hits = spark.createDataFrame([(int(rng.integers(0, 6)), float(rng.uniform(-1, 40)), float(rng.uniform(-1, 30)), 0.0, 0.0, 36.0, 24.0) for _ in range(200)],
+                                 "mask_id long, px double, py double, x double, y double, w double, h double").withColumn("id", F.monotonically_increasing_id()).cache()
+    rows = [(k, a.shape[1], a.shape[0], [float(t) for t in a.ravel()]) for k, a in arrays.items()]
+    packed = RK.packed(spark.createDataFrame(rows, "mask_id long, w int, h int, v array<float>"), 0.5)
+    masks = packed.select("mask_id", F.col("w").alias("mask_w"), F.col("h").alias("mask_h"), "bits")
+    pixels = to_pixels(spark, arrays).withColumn("alpha", F.lit(255))
+    for missing in (False, True):
+        got = {r.id: r.pixel_hit for r in spatial.bit_hits(hits, masks, missing).collect()}
+        want = {r.id: r.pixel_hit for r in spatial.pixel_hits(hits, masks.drop("bits"), pixels, missing).collect()}
+        assert got == want and len(got) == 200
+
+
+def test_box_sums_from_summed_lines(spark):
+    rng = np.random.default_rng(13)
+    arrays = {k: rng.normal(0, 1, (6 + k, 11)) for k in range(3)}
+    df = spark.createDataFrame([(k, 11, 6 + k, [float(t) for t in a.ravel()]) for k, a in arrays.items()] + [(9, 2, 2, [1.0, None, 2.0])],
+                               "mask_id long, w int, h int, v array<double>")
+    lines = {(r.mask_id, r.y): r.sums for r in RK.summed_lines(df).collect()}
+    assert len(lines) == 6 + 7 + 8 + 2 and lines[(9, 1)] == [0.0, 3.0, 3.0]
+    for k, a in arrays.items():
+        for _ in range(20):
+            y0, x0 = int(rng.integers(0, a.shape[0])), int(rng.integers(0, 11))
+            y1, x1 = int(rng.integers(y0, a.shape[0])), int(rng.integers(x0, 11))
+            above = lines[(k, y0 - 1)] if y0 else [0.0] * 12
+            low = lines[(k, y1)]
+            assert np.isclose(low[x1 + 1] - low[x0] - above[x1 + 1] + above[x0], a[y0:y1 + 1, x0:x1 + 1].sum())
