@@ -14,8 +14,8 @@ from maskloom.llm.records import REGION_ID, TEXT, stored
 
 #: Hashed word bins of the classifier, and about how many labelled texts its bin counts are taken from.
 BINS, SAMPLE = 2048, 20_000
-#: The part by which the default budget exceeds the least one, and the factors on it that are tried if targets cannot be met.
-SLACK, RAISES = 0.01, (1.0, 1.05, 1.15, 1.35, 1.75, 2.5, 4.0, 8.0)
+#: The part by which the default budget exceeds the least one, the factor by which it is raised, and steps between two written tables.
+SLACK, RAISE, WRITTEN = 0.01, 1.1, 8
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -85,77 +85,94 @@ def memberships(regions: DataFrame, model: DomainModel, keep: list[str] | None =
 
 @dataclass(frozen=True)
 class Rates:
-    """A rate is 1 plus ``posterior . pull``, but ``least`` at least. ``missed`` is the largest miss as a part of the budget."""
-    pull: list[float]
+    """A rate begins at 1. A step ``(momentum, c_1, .., c_k)`` moves it on by ``momentum`` of its last change, takes ``posterior . c`` from
+    it, and puts it back to ``least`` if it falls below.
+
+    ``totals`` are the expected token totals of the domains, ``missed`` is the largest miss as a part of the budget.
+    """
+    steps: list[list[float]]
     totals: list[float]
     targets: list[float]
     least: float = 0.0
     missed: float = 0.0
 
     def column(self) -> Column:
-        return _rate(self.pull, self.least) if self.pull else F.lit(1.0)
+        """The rate as an expression of ``n_tokens`` and ``posterior``; a text without tokens keeps rate 1."""
+        start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+        return F.when(F.col("n_tokens") > 0, _stepped(start, self.steps, self.least)["rate"]).otherwise(F.lit(1.0))
+
+
+def _stepped(state: Column, steps: list[list[float]], least: float) -> Column:
+    """``state(rate, before)`` after these steps: a fold over a constant array, as nested expressions of many steps would not compile."""
+    if not steps:
+        return state
 
+    def moved(s: Column, step: Column) -> Column:
+        dot = reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k - 1)) * F.get(step, F.lit(k)) for k in range(1, len(steps[0]))])
+        ahead = s["rate"] + F.get(step, F.lit(0)) * (s["rate"] - s["before"])
+        return F.struct(F.greatest(F.lit(least), ahead - dot).alias("rate"), s["rate"].alias("before"))
 
-def _rate(pull: list[float], least: float) -> Column:
-    return F.greatest(F.lit(least), F.lit(1.0) + reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k)) * F.lit(float(v)) for k, v in enumerate(pull)]))
+    whole = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
+    return F.aggregate(whole, state, moved)
 
 
-def _solved(members: DataFrame, targets: np.ndarray, present: np.ndarray, used: np.ndarray, least: float, start: np.ndarray,
-            steps: int, goal: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pull of the rates nearest to 1 that meet ``targets``, and their totals, by damped Newton steps on the dual.
+def _descended(members: DataFrame, targets: np.ndarray, present: np.ndarray, used: np.ndarray, least: float, steps: int, goal: float) -> tuple:
+    """Steps of the accelerated projected gradient on ``sum_k (total_k - target_k)^2 / size_k``, and the totals they lead to.
 
-    Where targets cannot be met, a small ridge on the pull makes the steps end near the least misses.
+    The size of a domain is its target or its present total, whichever is larger. The gradient for a text is ``posterior . miss /
+    size``, the same few numbers for all texts, so a step is one aggregation. As posteriors sum to 1 and no size is below what is
+    present, a plain step of length 1 never raises the loss. Steps have momentum; one that raises the loss is taken
+    back and momentum begins anew. Rates are written every ``WRITTEN`` steps. Steps end when they lower the loss no more.
     """
-    k = len(targets)
-    p = [F.get("posterior", F.lit(i)) for i in range(k)]
-    ridge = np.where(used, 1e-7 * present, 1.0)
-
-    def at(pull: np.ndarray) -> tuple:
-        free = F.lit(1.0) + reduce(lambda a, b: a + b, [q * F.lit(float(v)) for q, v in zip(p, pull)])
-        rated = members.select("n_tokens", "posterior", free.alias("_free"))
-        rate, open_ = F.greatest(F.lit(least), F.col("_free")), F.when(F.col("_free") >= least, F.col("n_tokens")).otherwise(0)
-        row = rated.agg(
-            F.sum(F.col("n_tokens") * (rate * F.col("_free") - rate * rate / 2)).alias("v"), *[F.sum(F.col("n_tokens") * q * rate) for q in p],
-            *[F.sum(open_ * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
-        second = np.zeros((k, k))
-        second[np.triu_indices(k)] = row[1 + k:]
-        second += np.triu(second, 1).T
-        totals = np.array(row[1:1 + k], float)
-        slope = np.where(used, totals - targets + ridge * pull, 0.0)
-        return row[0] - float(targets @ pull) + float(ridge @ pull ** 2) / 2, slope, second, totals
-
-    pull = start
-    value, slope, second, totals = at(pull)
+    p = [F.get("posterior", F.lit(i)) for i in range(len(targets))]
+    scale = np.where(used, 1.0 / np.where(used, np.maximum(present, targets), 1.0), 0.0)
+    one = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+    rated, since = members.filter("n_tokens > 0").select("n_tokens", "posterior", one.alias("_state")), []
+    taken, totals, before, pace = [], present, present, 1.0
+
+    def loss(of: np.ndarray) -> float:
+        return float(scale @ (of - targets) ** 2)
+
+    losses = [loss(totals)]
     for _ in range(steps):
-        if np.abs(totals - targets)[used].max() <= goal or np.abs(slope).max() <= goal / 4:
+        if np.abs(totals - targets)[used].max() <= goal:
             break
-        held = second * np.outer(used, used) + np.diag(ridge)
-        move, part = -np.linalg.solve(held, slope), 1.0
-        while True:
-            found = at(pull + part * move)
-            if found[0] <= value + 1e-4 * part * float(slope @ move) or part < 1e-6:
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = (pace - 1) / faster
+        step = [momentum, *(scale * (totals + momentum * (totals - before) - targets)).tolist()]
+        after = rated.select("n_tokens", "posterior", _stepped(F.col("_state"), [*since, step], least)["rate"].alias("_rate"))
+        found = np.array(after.agg(*[F.sum(F.col("n_tokens") * q * F.col("_rate")) for q in p]).first(), float)
+        if loss(found) > losses[-1]:
+            if not momentum:
                 break
-            part /= 4
-        pull = pull + part * move
-        value, slope, second, totals = found
-    return pull, totals
+            pace = 1.0
+            continue
+        taken.append(step)
+        since.append(step)
+        before, totals, pace = totals, found, faster
+        losses.append(loss(found))
+        if len(losses) > 10 and losses[-1] > (1 - 1e-5) * losses[-10]:
+            break
+        if len(since) == WRITTEN:
+            rated, since = stored(rated.select("n_tokens", "posterior", _stepped(F.col("_state"), since, least).alias("_state")), "rates"), []
+    return taken, totals
 
 
 def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float], budget: float | None = None,
-              steps: int = 40, tolerance: float = 1e-4) -> Rates:
-    """Rates, as near to 1 as can be, whose expected token totals are ``weights`` of ``budget`` tokens.
+              steps: int = 60, tolerance: float = 1e-4) -> Rates:
+    """Rates whose expected token totals are ``weights`` of ``budget`` tokens, by projected-gradient least squares from rate 1.
 
-    With ``t`` the tokens and ``p`` the posterior of a text, the total of domain k is ``sum r t p_k``. The least
-    ``sum t (r - 1)^2`` under these targets has rates ``max(least, 1 + p . pull)``; the pull is found by Newton steps.
-    All texts count; a step is one aggregation over ``members`` that returns a few numbers per two domains. Steps
-    end when every miss is under ``tolerance`` of the budget; if that is not reached, ``missed`` says by how much and there
-    is a warning.
+    With ``t`` the tokens and ``p`` the posterior of a text, the total of domain k is ``sum r t p_k``. Every step goes against the
+    gradient of the squared misses, each over the larger of the domain's target and present total, with momentum, and rates are put back to the allowed
+    ones. All texts count. Steps end when every miss is under ``tolerance`` of the budget, when they no longer lower the loss, or
+    after ``steps`` of them. Where targets cannot be met, they lead towards the nearest mix in this measure. Rates stay
+    finite, as no step kept raises the loss; ``missed`` says by how much they miss, and there is a warning.
 
     Without ``budget`` no text is lost: rates are 1 at least, domains that ``weights`` does not name keep their share, and
-    the budget is the least at which no present domain has to shrink, raised by ``RAISES`` until the targets are met; if
-    none meets them, the first is kept. A given budget, or a present domain with weight 0, allows rates down to 0, and with
-    a budget a domain without weight has target 0. Domains that no text belongs to are left out. Without tokens all
-    rates stay 1.
+    the budget is the least at which no present domain has to shrink. It is raised by ``RAISE`` as long as targets are missed and
+    a raise lowers the largest miss by a tenth; of all budgets tried the one with the least miss is kept. A given budget, or
+    a present domain with weight 0, allows rates down to 0, and with a budget a domain without weight has target 0. Domains that
+    no text belongs to are left out. Without tokens all rates stay 1, and a text without tokens keeps rate 1.
     """
     k = len(model.domains)
     first = members.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
@@ -170,20 +187,23 @@ def fit_rates(members: DataFrame, model: DomainModel, weights: dict[str, float],
         rest = np.where(named, 0.0, present / whole)
         shares = rest + asked / asked.sum() * (1 - rest.sum())
         least = 0.0 if (used & (shares <= 0)).any() else 1.0
-        lowest = (1 + SLACK) * float((present[shares > 0] / shares[shares > 0]).max())
-        budgets = [lowest * r for r in RAISES] if least else [lowest]
+        budget = (1 + SLACK) * float((present[shares > 0] / shares[shares > 0]).max())
+        raised = bool(least)
     else:
-        shares, least, budgets = asked / asked.sum(), 0.0, [float(budget)]
-    tried = []
-    for whole_budget in budgets:
-        targets = shares * whole_budget
-        pull, totals = _solved(members, targets, present, used, least, np.zeros(k), steps, tolerance * whole_budget)
-        missed = float(np.abs(totals - targets)[used].max()) / whole_budget
-        tried.append(Rates(pull.tolist(), totals.tolist(), targets.tolist(), least, missed))
-        if missed <= tolerance:
-            return tried[-1]
-    warnings.warn(f"rates miss their targets by up to {tried[0].missed:.2%} of the budget", stacklevel=2)
-    return tried[0]
+        shares, least, raised = asked / asked.sum(), 0.0, False
+    best = None
+    while True:
+        targets = shares * budget
+        taken, totals = _descended(members, targets, present, used, least, steps, tolerance * budget)
+        missed = float(np.abs(totals - targets)[used].max()) / budget
+        last, found = best, Rates(taken, totals.tolist(), targets.tolist(), least, missed)
+        best = found if best is None or missed < best.missed else best
+        if missed <= tolerance or not raised or (last is not None and missed > 0.9 * last.missed):
+            break
+        budget *= RAISE
+    if best.missed > tolerance:
+        warnings.warn(f"rates miss their targets by up to {best.missed:.2%} of the budget", stacklevel=2)
+    return best
 
 
 def copies(rate: Column, region_id: Column) -> Column:

@@ -89,3 +89,47 @@ def test_a_rare_domain_is_sampled_too(spark):
     model = mixing.fit_domains(df.select("region_id", F.when(F.col("region_id") < 3000, "air").otherwise("money").alias("domain")), df, sample=40)
     got = {r.region_id: r.posterior for r in mixing.memberships(df, model).collect()}
     assert all(got[i][1] > 0.5 for i in range(3000, 3010)) and all(got[i][0] > 0.5 for i in range(3000))
+
+
+def plain_least_squares(t, p, targets, least, rounds):
+    """The same loss by plain steps on whole arrays."""
+    r, size = np.ones(len(t)), np.maximum(t @ p, targets)
+    for _ in range(rounds):
+        r = np.maximum(least, r - p @ (((r * t) @ p - targets) / size))
+    return r
+
+
+@pytest.mark.parametrize("kind", ["reachable", "skewed", "unreachable"])
+def test_rates_are_the_least_squares_ones(spark, kind):
+    rng = np.random.default_rng(2)
+    prior = {"reachable": [3.0, 2.0, 2.0], "skewed": [6.0, 1.5, 1.0], "unreachable": [2.0, 2.0, 2.0]}[kind]
+    p = rng.dirichlet(prior, 300)
+    if kind == "unreachable":
+        p = 0.8 / 3 + 0.2 * p  # every text is a blend, no domain can have nearly all tokens
+    t = np.where(rng.random(300) < 0.1, 0, rng.integers(1, 900, 300))
+    shares = np.array([0.9, 0.05, 0.05]) if kind == "unreachable" else np.array([0.5, 0.3, 0.2])
+    df = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(300)], "region_id long, n_tokens long, posterior array<double>")
+    budget = 1.3 * float(t.sum())
+    rates = mixing.fit_rates(df, mixing.DomainModel(["a", "b", "c"], [], []), dict(zip("abc", shares)), budget)
+    got = df.select("region_id", rates.column().alias("r")).toPandas().sort_values("region_id").r.to_numpy()
+    assert (got[t == 0] == 1).all() and (got >= 0).all() and got.max() < 1000
+    here, size = (got * t) @ p, np.maximum(t @ p, shares * budget)
+    assert np.allclose(here, rates.totals) and math.isclose(rates.missed, np.abs(here - shares * budget).max() / budget, rel_tol=1e-6)
+    loss = lambda r: (((r * t) @ p - shares * budget) ** 2 / size).sum()
+    if kind == "unreachable":
+        assert rates.missed > 0.2 and loss(plain_least_squares(t, p, shares * budget, 0.0, 20_000)) * 0.99 <= loss(got)
+        assert loss(got) <= loss(plain_least_squares(t, p, shares * budget, 0.0, 200))
+    else:
+        assert rates.missed <= 1e-4 and np.abs(here - (plain_least_squares(t, p, shares * budget, 0.0, 20_000) * t) @ p).max() < 3e-4 * budget
+
+
+def test_rates_stay_finite_where_a_language_has_two_texts(spark):
+    words = {"en": "the law of tax", "de": "das recht der steuer", "fr": "la loi de impot", "es": "ley del tributo"}
+    rows = [(i, (words["en"] if i % 2 else words["de"]) + f" {i}", "en" if i % 2 else "de") for i in range(2000)]
+    rows += [(2000, words["fr"], "fr"), (2001, words["es"], "es"), (2002, "", "es"), (2003, None, "fr")]
+    df = spark.createDataFrame(rows, "region_id long, original_text string, domain string")
+    members, _, rates = mixing.mixed_rates(df, df.select("region_id", "domain"), MIX)
+    got = members.select("region_id", "n_tokens", rates.column().alias("r")).toPandas()
+    assert got.r.min() >= 1 and (got[got.n_tokens == 0].r == 1).all()
+    # The scarce languages need some 4,000 tokens each and have one text of three or four.
+    assert got.r.max() < 5_000 and (got.r * got.n_tokens).sum() < 3 * got.n_tokens.sum()
