@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from maskloom.llm.linking import components
 from maskloom.llm.records import LOWER, REGION_ID, TEXT, mixed, slices, span_hashes, stored, word_spans
@@ -254,8 +255,11 @@ def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
 
     Texts without words, null or empty, have an empty set and link with nothing. Rows with a null id take no
     part: their component is null and they are kept. Rows that share an id are one node, which links as any
-    of its texts does. Other columns are ignored; no rows give no rows.
+    of its texts does. Other columns are ignored; no rows give no rows. Ids may be whole numbers or text such as
+    ``7-text-0``, which is ordered as text; text ids are numbered first and their components named last, in joins by id.
     """
+    if not isinstance(regions.schema[REGION_ID].dataType, IntegralType):
+        return _by_number(regions, percent)
     plan = planned(percent)
     regions = regions.select(F.col(REGION_ID).cast("bigint").alias(REGION_ID), TEXT)
     signed = stored(regions.mapInArrow(
@@ -291,3 +295,16 @@ def near_copies(regions: DataFrame, percent: int = 85) -> DataFrame:
     return signed.select(REGION_ID, "n_shingles", "digest").join(reached, "digest", "left").select(
         REGION_ID, "n_shingles", F.when(F.col(REGION_ID).isNotNull(), component).alias("component_id"),
         F.coalesce(F.col(REGION_ID) == component, F.lit(True)).alias("kept"))
+
+
+def _by_number(regions: DataFrame, percent: int) -> DataFrame:
+    """:func:`near_copies` of regions whose ids are no numbers."""
+    texts = regions.select(F.col(REGION_ID).alias("name"), TEXT)
+    names = stored(texts.select("name").filter("name IS NOT NULL").distinct().select("name", F.monotonically_increasing_id().alias("node")), "names")
+    numbered = stored(texts.join(names, "name", "left").select("name", F.col("node").alias(REGION_ID), TEXT), "numbered")
+    found = stored(near_copies(numbered, percent), "found")
+    of_node = found.select(F.col(REGION_ID).alias("node"), "component_id").filter("node IS NOT NULL").distinct()
+    least = names.join(of_node, "node").groupBy("component_id").agg(F.min("name").alias("least"))
+    named = names.join(of_node, "node").join(least, "component_id").select("node", "name", "least")
+    return found.join(named, F.col(REGION_ID) == F.col("node"), "left").select(
+        F.col("name").alias(REGION_ID), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("name") == F.col("least"), F.lit(True)).alias("kept"))

@@ -31,6 +31,12 @@ def text_regions(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias(REGION_ID), F.col("text").alias(TEXT))
 
 
+def texts_of_regions(detected_regions: DataFrame) -> DataFrame:
+    """Rows of the library's region table as text regions: those of type ``text``, with what was read in them."""
+    return detected_regions.filter(F.col("type") == "text").select(
+        REGION_ID, F.try_element_at("metadata", F.lit("original_text")).alias(TEXT))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back: lineage ends at a durable table."""
     path = fresh_dir(df.sparkSession, label)

@@ -103,7 +103,7 @@ def cut_repeats(regions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with other words, some five words each. ``first`` and ``last`` count the characters of the text given.
 
     Every other column stays as it is; a column named ``cuts`` is replaced. A null or empty text stays. Rows with
-    a null id are compared with nothing but themselves. Rows that share an id are one text: they do not
+    a null id are compared with nothing but themselves; ids are ordered as their type orders them. Rows that share an id are one text: they do not
     repeat each other. No rows give no rows.
 
     Digests have 64 bits; a false cut would take several equal digests in a row. The first text of a
@@ -112,13 +112,13 @@ def cut_repeats(regions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     fields = [f for f in regions.schema if f.name != "cuts"]
     regions = regions.select(*[f"`{f.name}`" for f in fields])
-    listed = regions.filter(F.col(REGION_ID).isNotNull()).select(F.col(REGION_ID).cast("bigint").alias(REGION_ID), TEXT).mapInArrow(
-        _listed, "id long, digest long")
+    listed = regions.filter(F.col(REGION_ID).isNotNull()).select(REGION_ID, TEXT).mapInArrow(
+        _listed, f"id {regions.schema[REGION_ID].dataType.simpleString()}, digest long")
     firsts = listed.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     own = [f.name for f in fields]
     of = "_" * max(len(n) for n in own) + "of"  # no given column bears this name
     repeats = listed.join(firsts, "digest").filter("id > first").groupBy(F.col("id").alias(of)).agg(F.collect_set("digest").alias(f"{of}_"))
-    joined = regions.join(repeats, F.col(REGION_ID).cast("bigint") == F.col(of), "left").drop(of)
+    joined = regions.join(repeats, F.col(REGION_ID) == F.col(of), "left").drop(of)
     place, names = own.index(TEXT), own + ["cuts"]
     pair = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
