@@ -100,3 +100,29 @@ def metric_summary(log: DataFrame, tags: list[str], value: str = "value") -> Dat
         F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lowest"),
         F.max(value).alias("highest"), F.avg(value).alias("mean"), p.alias("_p"),
     ).withColumns({"p50": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]}).drop("_p")
+
+
+#: Size parameter of stored sketches, and the error of a rank it allows, as a part of all values.
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
+
+
+def metric_sketches(log: DataFrame, tags: list[str], at: str = "at", value: str = "value") -> DataFrame:
+    """Count, sum, extremes and a quantile sketch for each of ``tags`` and hour, to be stored and merged later.
+
+    A sketch has some KB whatever it has seen. Null values count nowhere; an hour without values has no row.
+    """
+    return log.filter(F.col(value).isNotNull()).groupBy(*tags, F.date_trunc("hour", at).alias("hour")).agg(
+        F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lowest"), F.max(value).alias("highest"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_SIZE).alias("sketch"))
+
+
+def summary_of_sketches(sketches: DataFrame, tags: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """One summary for each of ``tags`` from any hours of :func:`metric_sketches`; the log is not read again.
+
+    Each column of ``probabilities`` is a value whose rank is within ``RANK_ERROR`` of the probability.
+    """
+    merged = sketches.groupBy(*tags).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+        F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("_sketch"))
+    return merged.withColumns({c: F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))) for c, p in probabilities.items()}).withColumn(
+        "mean", F.col("total") / F.col("n")).drop("_sketch")

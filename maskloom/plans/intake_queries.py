@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from maskloom.functions import boxes as B, images as I, texts, urls
 from maskloom.operators import intake, spatial, validation
 from maskloom.plans.registry import query
+from maskloom.session import fresh_dir
+from maskloom.sources import image_files
 from maskloom.sources.adapters import table, view, view_sql
 
 _SCHEME = "lower(nullif(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), ''))"
@@ -356,3 +358,57 @@ def orphan_folders(spark, sf):
     folder = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("shot-"), F.col("doc_id"))).otherwise(F.concat_ws("-", *parts))
     f = table(spark, sf, "documents").select("doc_id", folder.alias("folder"))
     return intake.orphan_folders(f, f.filter("doc_id % 2 = 0").select(F.col("folder").alias("id")))
+
+
+# A JPEG up to its frame header, then the text: the start, an application segment, for some a table before the frame header, for
+# some no frame header at all.
+_JPEG_HEX = """concat('FFD8FFE000104A46494600010100000100010000', CASE WHEN doc_id % 6 = 1 THEN 'FFC4000500AABB' ELSE '' END,
+  CASE WHEN doc_id % 6 = 0 THEN 'FFD9' ELSE concat('FFC0001108', lpad({hex}(doc_id % 1000 + 1), 4, '0'), lpad({hex}(n_chars % 2000 + 1), 4, '0'), '03') END)"""
+_JPEGS = f"""WITH j AS (SELECT doc_id, n_chars, unhex({_JPEG_HEX.format(hex='to_hex')}) || encode(text) AS content FROM documents)"""
+
+
+def _jpegs(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", F.expr(f"concat(unhex({_JPEG_HEX.format(hex='hex')}), encode(text, 'UTF-8'))").alias("content"))
+
+
+@query("inline_jpegs", f"""{_JPEGS}
+SELECT doc_id, 'image/jpeg' AS content_type, octet_length(content) AS bytes, sha256(content) AS sha256,
+  CASE WHEN doc_id % 6 <> 0 THEN n_chars % 2000 + 1 END AS width, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 1000 + 1 END AS height,
+  CASE WHEN doc_id % 6 = 0 THEN 'identify_failed' END AS refusal FROM j""")
+def inline_jpegs(spark, sf):
+    """Inline JPEG images: the size is found by a walk over segments."""
+    url = F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64("content"), "\\s", ""))
+    out = intake.inline_assets(_jpegs(spark, sf).select("doc_id", url.alias("image_data")))
+    return out.select("doc_id", "content_type", F.length("content").cast("long").alias("bytes"), "sha256",
+                      F.col("size.w").cast("long").alias("width"), F.col("size.h").cast("long").alias("height"), "refusal")
+
+
+@query("fetched_jpegs", f"""{_JPEGS}
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'image/jpg' ELSE 'image/jpeg' END AS content_type, sha256(content) AS sha256,
+  CASE WHEN doc_id % 6 <> 0 THEN n_chars % 2000 + 1 END AS width, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 1000 + 1 END AS height,
+  CASE WHEN doc_id % 7 = 0 THEN 'HTTP 404' WHEN doc_id % 6 = 0 THEN 'identify_failed' END AS refusal FROM j""")
+def fetched_jpegs(spark, sf):
+    fetches = _jpegs(spark, sf).selectExpr(
+        "doc_id", "concat('https://img.example.com/', doc_id) AS image_url", "CASE WHEN doc_id % 7 = 0 THEN 404 ELSE 200 END AS http_status",
+        "cast(NULL AS string) AS error", "CASE WHEN doc_id % 5 = 0 THEN 'image/jpg; q=1' ELSE 'image/jpeg' END AS content_type_header", "content")
+    return intake.fetched_assets(fetches).select(
+        "doc_id", "content_type", "sha256", F.col("size.w").cast("long").alias("width"), F.col("size.h").cast("long").alias("height"), "refusal")
+
+
+@query("orphan_upload_folders", """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('shot-', doc_id) ELSE
+  concat(md5(text)[1:8], '-', md5(text)[9:12], '-', md5(text)[13:16], '-', md5(text)[17:20], '-', md5(text)[21:32]) END AS folder,
+  octet_length(encode(text)) AS bytes FROM documents),
+known AS (SELECT folder FROM f WHERE doc_id % 2 = 0)
+SELECT folder, count(*) AS files FROM f WHERE doc_id % 3 <> 0 AND folder NOT IN (SELECT folder FROM known) GROUP BY folder""")
+def orphan_upload_folders(spark, sf):
+    """A real upload root: a file for each document is written, the folders are listed and compared with the documents kept."""
+    h = F.md5("text")
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    folder = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("shot-"), F.col("doc_id"))).otherwise(F.concat_ws("-", *parts))
+    f = table(spark, sf, "documents").select("doc_id", folder.alias("folder"))
+    root = fresh_dir(spark, "uploads")
+    # One row a file: documents of one folder go to tasks of their own.
+    f.repartition("folder", "doc_id").sortWithinPartitions("folder", "doc_id").write.option("maxRecordsPerFile", 1).partitionBy("folder").json(root)
+    there = image_files.upload_folders(spark, root)
+    return intake.orphan_folders(there, f.filter("doc_id % 2 = 0").select(F.col("folder").alias("id"))).select("folder", "files")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import boxes as B, images as I
 from maskloom.operators import history, intake, maintenance, regions as R
 from maskloom.plans.registry import query, rounded, rounded_sql
+from maskloom.session import fresh_dir
 from maskloom.sources.adapters import table, view, view_sql
 
 def _order():
@@ -304,3 +305,24 @@ GROUP BY 1""")
 def documents_of_domain(spark, sf):
     docs = intake.captured_documents(view(spark, sf, "requests").drop("state"))
     return docs.filter(F.col("source_domain").isNotNull()).groupBy("source_domain").agg(F.count("*").alias("documents"))
+
+
+@query("sketched_metrics", f"""SELECT event_type, count(value) AS n, {rounded_sql('sum(value)', 3)} AS total, min(value) AS lowest, max(value) AS highest,
+  true AS p50_near, true AS p95_near, true AS p99_near
+FROM events WHERE date_trunc('hour', ts) >= date_trunc('hour', (SELECT min(ts) FROM events) + INTERVAL 3 DAY) GROUP BY event_type""")
+def sketched_metrics(spark, sf):
+    """A summary of some days from stored hourly sketches; each quantile's rank is held against the exact one."""
+    e = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"), "value")
+    path = fresh_dir(spark, "sketches")
+    maintenance.metric_sketches(e, ["event_type"]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    first = F.date_trunc("hour", F.min("at") + F.expr("INTERVAL 3 DAYS"))
+    since = e.agg(first.alias("since"))
+    asked = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    summary = maintenance.summary_of_sketches(stored.join(F.broadcast(since), F.col("hour") >= F.col("since")), ["event_type"], asked)
+    exact = e.join(F.broadcast(since), F.date_trunc("hour", "at") >= F.col("since")).join(summary.select("event_type", *asked), "event_type")
+    below = exact.groupBy("event_type").agg(F.count("value").alias("all"), *[
+        c for p in asked for c in (F.count_if(F.col("value") < F.col(p)).alias(f"{p}_low"), F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_high"))])
+    near = [((F.col(f"{p}_low") / F.col("all") <= v + maintenance.RANK_ERROR) & (F.col(f"{p}_high") / F.col("all") >= v - maintenance.RANK_ERROR)).alias(f"{p}_near")
+            for p, v in asked.items()]
+    return summary.join(below, "event_type").select("event_type", "n", rounded(F.col("total"), 3).alias("total"), "lowest", "highest", *near)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from maskloom.functions import boxes as B
 from maskloom.operators import ordering, raster_kernels, spatial, suppression
 from maskloom.plans.registry import query, rounded, rounded_sql
+from maskloom.session import fresh_dir
+from maskloom.sources import layouts
 from maskloom.sources.adapters import table, view, view_sql
 
 _IOU = """CASE WHEN {a}.w*{a}.h + {b}.w*{b}.h
@@ -158,6 +160,15 @@ def regions_in_window(spark, sf):
     return spatial.regions_in_window(view(spark, sf, "regions"), view(spark, sf, "marquees"))
 
 
+@query("regions_in_stored_window", f"""{view_sql('regions')}
+SELECT document_id, region_id FROM regions WHERE x <= 62 AND x + w >= 50 AND y <= 48 AND y + h >= 40""")
+def regions_in_stored_window(spark, sf):
+    """One window over a region table written along a space-filling curve."""
+    path = fresh_dir(spark, "regions-by-place")
+    layouts.write_regions(view(spark, sf, "regions").select("document_id", "region_id", "x", "y", "w", "h"), path)
+    return layouts.regions_in_frame_window(spark, path, 50.0, 40.0, 12.0, 8.0).select("document_id", "region_id")
+
+
 @query("regions_mostly_in_window", f"""{view_sql('regions', 'marquees')},
 o AS (SELECT r.document_id, r.region_id, r.w * r.h AS a,
   least(r.x + r.w, m.x + m.w) - greatest(r.x, m.x) AS dx, least(r.y + r.h, m.y + m.h) - greatest(r.y, m.y) AS dy

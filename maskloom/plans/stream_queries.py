@@ -83,6 +83,23 @@ def emitted_survivors_stream(spark, sf):
     return jobs.progressive_survivors(boxes, 0.5).select("document_id", "region_id")
 
 
+_BATCHES = f"""{view_sql('regions')}, one AS (SELECT * FROM regions WHERE cast(x AS int) % 2 = 0), {suppression_sql('one', 0.5)},
+two AS (SELECT document_id, region_id, x, y, w, h, score FROM survivors
+  UNION ALL SELECT document_id, region_id, x, y, w, h, score FROM regions WHERE cast(x AS int) % 2 = 1),
+{suppression_sql('two', 0.5).replace('survivors', 'later').replace('walk', 'walk_on').replace('ranked', 'ranked_on')}"""
+
+
+@query("emitted_in_batches_stream", f"""{_BATCHES} SELECT document_id, region_id, 0 AS batch FROM survivors
+UNION ALL SELECT document_id, region_id, 1 FROM later WHERE cast(x AS int) % 2 = 1""")
+def emitted_in_batches_stream(spark, sf):
+    """Two batches: the second meets what survived of the first, emits its own survivors, and takes nothing back."""
+    out = fresh_dir(spark, "emitted-in-batches")
+    boxes = view(spark, sf, "regions").select(*suppression.BOX_COLUMNS)
+    for batch in (0, 1):
+        jobs.progressive_batch(boxes.filter(F.col("x").cast("int") % 2 == batch), batch, out, 0.5)
+    return spark.read.parquet(f"{out}/emitted").select("document_id", "region_id", F.col("batch").cast("int").alias("batch"))
+
+
 def _write_captures(spark, sf):
     r = view(spark, sf, "requests").drop("state")
     docs = view(spark, sf, "inline").select(F.col("doc_id").alias("request_id"), "payload")
@@ -104,7 +121,8 @@ def _write_captures(spark, sf):
 _INTAKE = f"""{view_sql('requests')}, v AS (SELECT *, request_id IN (SELECT doc_id FROM documents) AS inline FROM requests
   WHERE capture_mode IN ('direct_asset', 'screenshot') AND coalesce(source, 'extension') IN ('extension', 'upload')
   AND (source = 'upload' OR trim(source_url) <> '')),
-s AS (SELECT request_id, CASE WHEN inline AND request_id % 3 = 0 THEN 'error' WHEN NOT inline AND request_id % 4 = 0 THEN 'error' ELSE 'ready' END AS status FROM v)"""
+s AS (SELECT request_id, CASE WHEN inline AND request_id % 3 = 0 THEN 'error' WHEN NOT inline AND request_id % 4 = 0 THEN 'error'
+  WHEN NOT inline AND request_id % 4 = 2 THEN 'loading' ELSE 'ready' END AS status FROM v)"""
 
 
 _NAMES = """n AS (SELECT s.request_id, s.status, printf('shot-%s-%03d', strftime(requested_at, '%Y%m%d'),
@@ -118,7 +136,7 @@ def _taken_in(spark, sf):
     return out
 
 
-@query("intake_stream", f"""{_INTAKE} SELECT request_id, 0 AS step, 'loading' AS status FROM s UNION ALL SELECT request_id, 1, status FROM s""")
+@query("intake_stream", f"""{_INTAKE} SELECT request_id, 0 AS step, 'loading' AS status FROM s UNION ALL SELECT request_id, 1, status FROM s WHERE status <> 'loading'""")
 def intake_stream(spark, sf):
     return spark.read.parquet(f"{_taken_in(spark, sf)}/states").select("request_id", "step", "status")
 

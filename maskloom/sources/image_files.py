@@ -24,3 +24,22 @@ def read_image_files(spark: SparkSession, path: str, glob: str = "*", max_bytes:
         "path", "length", I.mime_of_name(F.col("path")).alias("content_type"), F.lit(None).cast("string").alias("sha256"),
         F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("file_too_large").alias("refusal"))
     return read.unionByName(large)
+
+
+def upload_files(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
+    """Files below the folders of an upload root: ``folder``, ``file``, ``path``, ``length``, ``modified`` and ``content``.
+
+    Spark lists folders in parallel where there are many, on any store it can read. With ``folders`` only those are listed, such as
+    the folders of a few documents. ``content`` is read where a query asks for it, so listing reads no file.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").option(
+        "ignoreMissingFiles", "true").load([f"{root}/{f}" for f in folders] if folders is not None else root)
+    below = F.element_at(F.split("path", F.lit("/")), F.lit(-2))
+    return found.select(
+        F.regexp_replace(below, "^folder=", "").alias("folder"), F.element_at(F.split("path", F.lit("/")), F.lit(-1)).alias("file"),
+        "path", "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def upload_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Folders of an upload root that hold files, with how many and how many bytes."""
+    return upload_files(spark, root).groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -54,7 +54,8 @@ def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame |
     document gets its name for the day; ``taken`` keeps the highest number of each day, which is all a batch reads of
     those before it. An inline image is decoded here. An image address passes the guard and,
     if there is a log ``fetches`` as :func:`intake.fetched_assets` takes it, is judged by its outcome (by the least of
-    them if an address is there more than once, success before refusals); an address that the log lacks ends in ``not_fetched``. A saved image is an asset row; regions
+    them if an address is there more than once, success before refusals); an address that the log lacks ends in ``not_fetched``. Without a log
+    such a document stays ``loading``, and has no second row in ``states``. A saved image is an asset row; regions
     are saved for documents that become ``ready``.
     """
     captures = captures.persist()
@@ -83,13 +84,15 @@ def intake_batch(captures: DataFrame, batch: int, out: str, fetches: DataFrame |
         F.coalesce("width", "size.w").alias("width"), F.coalesce("height", "size.h").alias("height"),
         "sha256", refusal.alias("refusal"), F.when(saved, F.concat_ws("-", "request_id", F.lit("original"))).alias("original_asset_id"),
         "size", "content_type", "text_regions", "segment_regions",
-    ).withColumn("status", F.when(F.col("refusal").isNull(), "ready").otherwise("error")).persist()
+        (F.lit(fetches is None) & F.col("image_url").isNotNull()).alias("waits"),
+    ).withColumn("status", F.when(F.col("refusal").isNotNull(), "error").when(F.col("waits"), "loading").otherwise("ready")).drop("waits").persist()
     _write_batch(done.drop("size", "content_type", "text_regions", "segment_regions"), f"{out}/documents", batch)
     _write_batch(_assets(done.filter("original_asset_id IS NOT NULL")), f"{out}/assets", batch)
     _write_batch(_regions(done.filter("status = 'ready'")), f"{out}/regions", batch)
     _write_batch(_given(done, batch, out), f"{out}/taken", batch)
     feed = docs.filter("valid").select("request_id", F.lit(0).alias("step"), F.lit("loading").alias("status"))
-    _write_batch(feed.unionByName(done.select("request_id", F.lit(1).alias("step"), "status")), f"{out}/states", batch)
+    settled = done.filter("status <> 'loading'").select("request_id", F.lit(1).alias("step"), "status")
+    _write_batch(feed.unionByName(settled), f"{out}/states", batch)
     done.unpersist()
     captures.unpersist()
 

@@ -243,3 +243,13 @@ def test_intake_batches_number_names_on_and_use_the_fetch_log(spark):
                       "3-original": ("priv/static/uploads/shot-20240506-003/original.png", 10, 20)}
     found = sorted((r.region_id, r.type, r.z_index, r.mask_path) for r in spark.read.parquet(f"{out}/regions").collect())
     assert found == [("1-segment-1", "object", 1002, "priv/static/uploads/shot-20240506-001/masks/segment_2.png"), ("1-text-0", "text", 1, None)]
+    # Two log rows for one address: one document; without a log a fetch is still to come.
+    twice = log.unionByName(log.withColumn("http_status", F.lit(500)))
+    for name, fetches, want in (("twice", twice, {3: ("ready", None), 4: ("error", "not_fetched"), 9: ("ready", None)}),
+                                ("none", None, {3: ("loading", None), 4: ("loading", None), 9: ("ready", None)})):
+        place = fresh_dir(spark, f"intake-{name}")
+        jobs.intake_batch(spark.createDataFrame(batches[1], CAPTURE), 0, place, fetches)
+        rows = spark.read.parquet(f"{place}/documents").collect()
+        assert len(rows) == 3 and {r.request_id: (r.status, r.refusal) for r in rows} == want
+        states = sorted((r.request_id, r.step, r.status) for r in spark.read.parquet(f"{place}/states").collect())
+        assert states == sorted([(i, 0, "loading") for i in want] + [(i, 1, v[0]) for i, v in want.items() if v[0] != "loading"])
