@@ -334,23 +334,20 @@ _GAUSS = [0.004433047957718372, 0.05400558188557625, 0.24203623831272125, 0.3990
 
 
 def _blur_sql() -> str:
-    k = _GAUSS
-    r = len(k) // 2
+    """Lines, then columns, as lists of eight values; a pixel sees its own line or column only."""
+    r = len(_GAUSS) // 2
 
-    def weighted(axis):
-        other = "y" if axis == "x" else "x"
-        pos = [f"greatest(least({axis} + ({i - r}), 7), 0)" for i in range(len(k))]
-        idx = [f"cast({p} + y * 8 AS int) + 1" if axis == "x" else f"cast(x + {p} * 8 AS int) + 1" for p in pos]
-        return " + ".join(f"(a[{j}])::DOUBLE * {w!r}::DOUBLE" for j, w in zip(idx, k)), other
+    def weighted(at: str) -> str:
+        return " + ".join(f"(a[cast(greatest(least({at} + ({i - r}), 7), 0) AS int) + 1])::DOUBLE * {w!r}::DOUBLE" for i, w in enumerate(_GAUSS))
 
-    return f"""h AS (SELECT mask_id, x, y, cast({weighted('x')[0]} AS FLOAT) AS v FROM (
-    SELECT p.mask_id, p.x, p.y, e.embedding AS a FROM pixels p JOIN embeddings e ON e.vec_id = p.mask_id)),
-ha AS (SELECT mask_id, list(v ORDER BY y, x) AS a FROM h GROUP BY mask_id),
-blur AS (SELECT mask_id, x, y, cast({weighted('y')[0]} AS FLOAT) AS v FROM (
-    SELECT p.mask_id, p.x, p.y, ha.a FROM pixels p JOIN ha ON ha.mask_id = p.mask_id))"""
+    return f"""across AS (SELECT mask_id, y, list(v ORDER BY x) AS a FROM pixels GROUP BY mask_id, y),
+h AS (SELECT mask_id, g.x, y, cast({weighted('g.x')} AS FLOAT) AS v FROM across, range(8) AS g(x)),
+down AS (SELECT mask_id, x, list(v ORDER BY y) AS a FROM h GROUP BY mask_id, x),
+blur AS (SELECT mask_id, x, g.y, cast({weighted('g.y')} AS FLOAT) AS v FROM down, range(8) AS g(y))"""
 
 
-@query("blurred_rasters", f"""{view_sql('rasters')}, {PIXELS_SQL}, {_blur_sql()}
+@query("blurred_rasters", f"""WITH pixels AS (SELECT mask_id, i % 8 AS x, i // 8 AS y, v::DOUBLE AS v FROM (
+  SELECT vec_id AS mask_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)), {_blur_sql()}
 SELECT mask_id, x, y, {rounded_sql('v::DOUBLE')} AS v FROM blur""")
 def blurred_rasters(spark, sf):
     out = M.raster_pixels(refinement.blurred(_rasters(spark, sf)))
