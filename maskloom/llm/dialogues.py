@@ -90,7 +90,8 @@ def canonical_turns(records: DataFrame, record_id: str, layouts: list[Layout] =
 
         return F.transform(array, lambda m: turn(common(m[role]), m[text]))
 
-    marked = records.select("*", fingerprint(records, layouts).alias("_print"))
+    own = "_" * max(map(len, records.columns)) + "print"  # no given column bears this name
+    marked = records.select("*", fingerprint(records, layouts).alias(own))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in reversed(layouts):
         if any(_has(records.schema, p) is None for p in layout.paths()):
@@ -99,7 +100,7 @@ def canonical_turns(records: DataFrame, record_id: str, layouts: list[Layout] =
             made = each_turn(layout)
         else:
             made = F.array(*[turn(F.lit(role), F.col(path)) for role, path in layout.turns])
-        match = F.col("_print") == F.xxhash64(F.lit("\n".join(layout.paths())))
+        match = F.col(own) == F.xxhash64(F.lit("\n".join(layout.paths())))
         name, turns = F.when(match, F.lit(layout.name)).otherwise(name), F.when(match, made).otherwise(turns)
     return marked.select(F.col(record_id), name.alias("layout"), turns.alias("turns"))
 

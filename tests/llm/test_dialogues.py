@@ -52,3 +52,9 @@ def test_query_against_the_table(spark):
         assert r.n_turns == len(turns) and r.loss_chars == len(learned) and r.formatted_chars > sum(len(t) for _, _, t in turns)
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+
+
+def test_given_columns_may_bear_any_name(spark):
+    df = spark.createDataFrame([(1, "p", "c", "x", 2, "y")], "id long, prompt string, completion string, _print string, turns int, layout string")
+    got = d.canonical_turns(df, "id").collect()
+    assert [(r.id, r.layout, [tuple(t) for t in r.turns]) for r in got] == [(1, "prompt-completion", [("user", "p"), ("assistant", "c")])]
