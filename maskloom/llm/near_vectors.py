@@ -136,12 +136,17 @@ def _counting(kind: str, least: float):
 
 
 def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal the rows of each key into blocks of about ``BLOCK``; every two blocks of a key meet once as (x, y)."""
+    """Deal the rows of each key into blocks of about ``BLOCK``; every two blocks of a key meet once as (x, y).
+
+    The exchange by key and blocks is asked for: where the sizes are joined by an exchange on the key, Spark would take that one as
+    good enough to group by, and all blocks of a key would stay in one task.
+    """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(
         *keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return dealt.select("*", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", "blocks")
+    met = dealt.select("*", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", "blocks")
+    return met.repartition(*keys, "x", "y")
 
 
 def near_vectors(images: DataFrame, least: float = 0.9) -> DataFrame:

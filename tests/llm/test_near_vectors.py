@@ -1,6 +1,8 @@
 import numpy as np
 
-from maskloom.llm.near_vectors import coded, near_pairs, near_vectors, table_plan
+from pyspark.sql import functions as F
+
+from maskloom.llm.near_vectors import BLOCK, _in_blocks, coded, near_pairs, near_vectors, table_plan
 from maskloom.llm.queries import op6_near_vectors
 
 
@@ -58,3 +60,16 @@ def test_query_against_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     assert rows(op6_near_vectors(spark, sf), "vec_id") == brute(vectors)
+
+
+def test_blocks_of_one_key_spread_without_broadcasts(spark):
+    """All rows under one key and no broadcast: the pairs of blocks are dealt by key and blocks, not by the key alone."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(20 * BLOCK).select("id", F.lit(3).alias("component"))
+        dealt = _in_blocks(rows, ["component"])
+        sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) > 1 and dealt.select("x", "y").distinct().count() == 20 * 21 // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
