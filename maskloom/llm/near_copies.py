@@ -235,7 +235,8 @@ def _family_links(families: DataFrame, links: DataFrame, sets: DataFrame, percen
         "family", "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "family", "node", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return met.join(sets.withColumnRenamed(REGION_ID, "node"), "node").groupBy("family", "x", "y").applyInArrow(
+    # The exchange is asked for: with a broadcast of ``sets`` Spark would group on the exchange by family, and not split it.
+    return met.join(sets.withColumnRenamed(REGION_ID, "node"), "node").repartition("family", "x", "y").groupBy("family", "x", "y").applyInArrow(
         _block_links(percent), "a long, b long")
 
 
