@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampType
 
 # Rows closer than this read as one line; colours in the palette; points per batch
 # and per side of the automatic segmentation grid.
@@ -50,6 +51,12 @@ def slice_number(df: DataFrame, order: Sequence[Column], points: list) -> Column
     return between(0, len(points))
 
 
+def _as_constants(df: DataFrame, order: Sequence[Column]) -> list[Column]:
+    """``order`` with time stamps as numbers: as constants on the driver they would pass through its time zone."""
+    fields = df.select(*[c.alias(f"c{i}") for i, c in enumerate(order)]).schema
+    return [F.unix_micros(c) if isinstance(f.dataType, TimestampType) else c for c, f in zip(order, fields)]
+
+
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Sequence[Column] | None = None,
     name: str = "position", slices: int | None = None,
@@ -65,7 +72,7 @@ def ordinal(
     """
     if coarse is None:
         n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        whole = [*[F.col(k) for k in keys], *order]
+        whole = _as_constants(df, [*[F.col(k) for k in keys], *order])
         coarse = [slice_number(df, whole, split_points(df, whole, min(n, SAMPLE // 4)))]
     cuts = [f"_slice{i}" for i in range(len(coarse))]
     by = [*keys, *cuts]

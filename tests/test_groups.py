@@ -284,7 +284,7 @@ def test_ordinal_orders_like_one_window(spark):
 
 @pytest.mark.parametrize("t, leading", [(0.3, 8), (0.5, 64), (0.7, 2048)])
 def test_groups_of_a_crowded_document(spark, t, leading):
-    rows = crowd(400, 31, copies=0.1)
+    rows = crowd(220, 31, copies=0.1)
     df = boxes(spark, rows)
     assert {r.region_id for r in S.surviving_boxes(df, t, array_limit=50, frontier=leading).collect()} == greedy(rows, t)
 
